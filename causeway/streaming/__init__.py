@@ -1,0 +1,5 @@
+"""No streaming operator is offered: the work this package covers is batch only.
+
+Everything in ``causeway.functions`` is a plain column expression, so it also
+works in a ``select`` over ``spark.readStream`` (see ``tests/test_streaming.py``).
+"""
