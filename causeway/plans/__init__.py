@@ -1,0 +1 @@
+"""Whole plans: the test views, the registered queries and end-to-end runs."""

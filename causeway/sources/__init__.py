@@ -1,0 +1 @@
+"""Readers, corpus routing, rules and sinks."""
