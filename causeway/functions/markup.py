@@ -64,9 +64,11 @@ def strip_clues(text: Column) -> Column:
                     )
             return out
 
-        count = relation_count(bare, "b")
-        numbered = F.when(count == 0, bare).otherwise(
-            F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), bare, one)
+        numbered = let(
+            relation_count(bare, "b"),
+            lambda count: F.when(count == 0, bare).otherwise(
+                F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), bare, one)
+            ),
         )
         return F.when(bare.contains("<b2>"), numbered).otherwise(map_tags(bare, "br"))
 
@@ -93,8 +95,7 @@ def numbered_span(text: Column, letter: str, number: Column) -> Column:
     pattern = F.concat(
         F.lit(f"(?d)<{letter}"), number, F.lit(f">(.*?)</{letter}"), number, F.lit(">")
     )
-    found = F.call_function("regexp_extract", text, pattern, F.lit(1))
-    return F.when(F.regexp_like(text, pattern), found)
+    return F.try_element_at(F.regexp_extract_all(text, pattern, F.lit(1)), F.lit(1))
 
 
 def has_crossing(text: Column) -> Column:
@@ -104,19 +105,19 @@ def has_crossing(text: Column) -> Column:
     so no span pairs are formed.
     """
 
-    def bounds(letter: str, i: Column) -> Column:
+    def bounds(letter: str, i: Column, text: Column) -> Column:
         n = i.cast("string")
         return F.struct(
             F.position(F.concat(F.lit(f"<{letter}"), n, F.lit(">")), text).alias("start"),
             F.position(F.concat(F.lit(f"</{letter}"), n, F.lit(">")), text).alias("stop"),
         )
 
-    def check(count: Column) -> Column:
+    def check(count: Column, text: Column) -> Column:
         spans = F.array_sort(
             F.flatten(
                 F.transform(
                     F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-                    lambda i: F.array(bounds("c", i), bounds("e", i)),
+                    lambda i: F.array(bounds("c", i, text), bounds("e", i, text)),
                 )
             )
         )
@@ -130,4 +131,4 @@ def has_crossing(text: Column) -> Column:
         )
         return F.when(~malformed, overlap)
 
-    return let(relation_count(text), check)
+    return let(text, lambda t: let(relation_count(t), lambda count: check(count, t)))

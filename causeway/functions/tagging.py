@@ -32,7 +32,7 @@ def marked_tokens(marked: Column) -> Column:
         own = F.when(token.contains(OPEN_CAUSE), F.replace(token, F.lit(OPEN_CAUSE), F.lit("")))
         for marker in (CLOSE_CAUSE, OPEN_EFFECT, CLOSE_EFFECT):
             own = own.when(token.contains(marker), F.replace(token, F.lit(marker), F.lit("")))
-        return strip_markup(own.otherwise(token))
+        return F.when(~token.contains("<"), token).otherwise(strip_markup(own.otherwise(token)))
 
     return F.transform(F.split(marked, " "), clean)
 
@@ -45,34 +45,38 @@ def marked_tags(marked: Column, strict: bool = False) -> Column:
     only, and ``I-`` runs on to the next marker; ``strict=True`` closes it.
     """
 
-    def kind(token: Column) -> Column:
-        return (
-            F.when(token.contains(OPEN_CAUSE), 1)
-            .when(token.contains(CLOSE_CAUSE), 2)
-            .when(token.contains(OPEN_EFFECT), 3)
-            .when(token.contains(CLOSE_EFFECT), 4)
-            .otherwise(0)
-        )
+    markers = (OPEN_CAUSE, CLOSE_CAUSE, OPEN_EFFECT, CLOSE_EFFECT)
 
-    def marker(token: Column, i: Column) -> Column:
-        k = kind(token)
-        closes = k.isin(2, 4)
-        if strict:
-            closes = (
-                closes
-                | ((k == 1) & token.contains(CLOSE_CAUSE))
-                | ((k == 3) & token.contains(CLOSE_EFFECT))
-            )
+    def holds(token: Column) -> Column:
+        hit = token.contains(markers[0])
+        for marker in markers[1:]:
+            hit = hit | token.contains(marker)
+        return token.contains("<") & hit
+
+    def judge(place: Column) -> Column:
+        token = place["token"]
+        opens_cause, closes_cause = token.contains(OPEN_CAUSE), token.contains(CLOSE_CAUSE)
+        opens_effect, closes_effect = token.contains(OPEN_EFFECT), token.contains(CLOSE_EFFECT)
+        after_cause = F.when(closes_cause, "O").otherwise("I-C") if strict else F.lit("I-C")
+        after_effect = F.when(closes_effect, "O").otherwise("I-E") if strict else F.lit("I-E")
         return F.struct(
-            i.alias("at"),
-            F.when(k == 1, "B-C").when(k == 2, "I-C").when(k == 3, "B-E").otherwise("I-E").alias("tag"),
-            F.when(closes, "O").when(k == 1, "I-C").otherwise("I-E").alias("then"),
-            (k > 0).alias("hit"),
+            place["at"].alias("at"),
+            F.when(opens_cause, "B-C")
+            .when(closes_cause, "I-C")
+            .when(opens_effect, "B-E")
+            .otherwise("I-E")
+            .alias("tag"),
+            F.when(opens_cause, after_cause)
+            .when(closes_cause, "O")
+            .when(opens_effect, after_effect)
+            .otherwise("O")
+            .alias("then"),
         )
 
     def tags(tokens: Column) -> Column:
-        markers = F.filter(F.transform(tokens, marker), lambda m: m["hit"])
-        return let(markers, lambda found: runs(found, F.size(tokens)))
+        places = F.transform(tokens, lambda t, i: F.struct(i.alias("at"), t.alias("token")))
+        found = F.transform(F.filter(places, lambda p: holds(p["token"])), judge)
+        return let(found, lambda marks: runs(marks, F.size(tokens)))
 
     def runs(found: Column, n: Column) -> Column:
         lead = F.array_repeat(F.lit("O"), F.coalesce(F.get(found, F.lit(0))["at"], n))
@@ -145,7 +149,11 @@ def aligned_tags(tagged: Column, tokens: Column) -> Column:
     per character give the answer in linear time. Other rows take the scan,
     which consumes the tagged string token by token.
     """
+    row = F.struct(tagged.alias("tagged"), tokens.alias("tokens"))
+    return let(row, lambda r: _aligned(r["tagged"], r["tokens"]))
+
 
+def _aligned(tagged: Column, tokens: Column) -> Column:
     def by_segment(segments: Column) -> Column:
         openers = F.concat(
             F.array(F.lit("")), F.regexp_extract_all(tagged, F.lit(f"({SPAN_TAG})"), F.lit(1))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 # A key is hot when it holds more than this many rows and this share of all rows.
 # The share bounds the number of hot keys by its inverse, so they can be broadcast.
@@ -31,8 +32,8 @@ def with_group_size(
     """Add the number of rows that share the keys; NULL keys equal each other.
 
     Sizes come from a pre-aggregated count and are joined back. Rows of hot keys
-    are spread over ``slices`` by a hash of the whole row, and only the hot
-    sizes are repeated that often.
+    are spread over ``slices`` by a hash of their plain columns, and only the
+    hot sizes are repeated that often.
     """
     renamed = [F.col(k).alias(f"_{k}") for k in keys]
     sizes = df.groupBy(*renamed).agg(F.count("*").alias(name))
@@ -41,7 +42,8 @@ def with_group_size(
     sizes = sizes.withColumn("_hot", F.col(name) > limit)
     hot = F.broadcast(sizes.where("_hot").drop(name))
     marked = df.join(hot, _same(df, hot, keys), "left").select(df["*"], hot["_hot"])
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(slices)).cast("int")
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(slices)).cast("int")
     marked = marked.withColumn("_slice", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(
         F.array(F.lit(0))

@@ -13,19 +13,21 @@ from ..functions.tagging import IGNORED_LABEL, attention_mask, pad_to
 
 def explode_tokens(df: DataFrame, *arrays: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row per token with its place and its entry of each parallel array."""
-    kept = [c for c in keep]
-    zipped = df.select(*kept, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "_token"))
-    return zipped.select(*kept, "pos", *[F.col(f"_token.{a}").alias(a) for a in arrays])
+    # A plain explode makes Catalyst filter on the array's size first, which
+    # computes the array twice; the outer form with a filter behind it does not.
+    zipped = df.select(*keep, F.posexplode_outer(F.arrays_zip(*arrays)).alias("pos", "_token"))
+    return zipped.where("pos IS NOT NULL").select(
+        *keep, "pos", *[F.col(f"_token.{a}").alias(a) for a in arrays]
+    )
 
 
 def tag_inventory(df: DataFrame, tags: str = "tags") -> DataFrame:
-    return df.select(F.explode(tags).alias("tag")).distinct()
+    return df.select(F.explode_outer(tags).alias("tag")).where("tag IS NOT NULL").distinct()
 
 
 def tag_counts(df: DataFrame, tags: str = "tags", by: Sequence[str] = ()) -> DataFrame:
-    return (
-        df.select(*by, F.explode(tags).alias("tag")).groupBy(*by, "tag").agg(F.count("*").alias("n"))
-    )
+    each = df.select(*by, F.explode_outer(tags).alias("tag")).where("tag IS NOT NULL")
+    return each.groupBy(*by, "tag").agg(F.count("*").alias("n"))
 
 
 def _rate(condition: Column) -> Column:
@@ -102,16 +104,17 @@ def token_prf(
     def ratio(top: Column, bottom: Column) -> Column:
         return F.when(bottom == 0, 0.0).otherwise(top / bottom)
 
-    counts = df.select(*by, pairs.alias("_pairs")).groupBy(*by).agg(
-        *[
-            column
-            for label in labels
-            for column in (
-                count(lambda x, v=label: (x["g"] == v) & (x["t"] == v)).alias(f"_hit{label}"),
-                count(lambda x, v=label: x["g"] == v).alias(f"_guess{label}"),
-                count(lambda x, v=label: x["t"] == v).alias(f"_true{label}"),
-            )
+    def label_counts(v: int) -> list[Column]:
+        return [
+            count(lambda x: (x["g"] == v) & (x["t"] == v)).alias(f"_hit{v}"),
+            count(lambda x: x["g"] == v).alias(f"_guess{v}"),
+            count(lambda x: x["t"] == v).alias(f"_true{v}"),
         ]
+
+    counts = (
+        df.select(*by, pairs.alias("_pairs"))
+        .groupBy(*by)
+        .agg(*[column for label in labels for column in label_counts(label)])
     )
 
     def mean(score) -> Column:

@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan out over all cores when it has fewer partitions than there are cores.
+
+    A table of many files is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the shared one the session names, or a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="run-")
@@ -28,7 +37,7 @@ def scratch_folder(spark: SparkSession) -> str:
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-empty sentences: ``src_id, source, sent, s, words``."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
         .select(
             F.col("doc_id").alias("src_id"),
             "source",
@@ -112,11 +121,95 @@ def _ann_select(dialect: str, sents: str, labels: str) -> str:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotated pairs: one row per relation, or per sentence without one."""
-    return spark.sql(
-        _ann_select("spark", "{sents}", "{labels}"),
-        sents=sentences(spark, sf_dir),
-        labels=table(spark, sf_dir, "labels"),
+    """Annotated pairs: one row per relation, or per sentence without one.
+
+    The same rows as the SQL, made in one pass over the sentences.
+    """
+    number = F.col("src_id") + F.col("sent")
+    size, k = F.size("words"), F.when(F.col("sent") % 9 == 0, 1).otherwise(2)
+
+    def words(start, count):
+        return F.array_join(F.slice("words", start, count), " ")
+
+    cut = sentences(spark, sf_dir).select(
+        "src_id",
+        "source",
+        "sent",
+        "s",
+        (size >= 8).alias("is_pair"),
+        words(F.lit(1), k).alias("c1"),
+        words(k + 1, F.lit(2)).alias("e1"),
+        words(k + 3, F.lit(2)).alias("c2"),
+        words(k + 5, F.lit(2)).alias("e2"),
+        words(k + 7, size).alias("rest"),
+    )
+
+    def join(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    def head(c, e):
+        layout = (F.col("src_id") * 7 + F.col("sent")) % 6
+        return (
+            F.when(layout == 0, join(c, " leads to ", e))
+            .when(layout == 1, join(e, " because ", c))
+            .when(layout == 2, join("Once ", c, ", ", e))
+            .when(layout == 3, join(c, " zzz ", e))
+            .when(layout == 4, join(c, " has been the reason why ", e))
+            .otherwise(join(c, ", ", e))
+        )
+
+    c1, e1, c2, e2 = (F.col(c) for c in ("c1", "e1", "c2", "e2"))
+    marked = head(join("<ARG0>", c1, "</ARG0>"), join("<ARG1>", e1, "</ARG1>"))
+    built = cut.select(
+        "src_id",
+        "source",
+        "sent",
+        "s",
+        "is_pair",
+        "c2",
+        "e2",
+        head(c1, e1).alias("plain"),
+        marked.alias("marked"),
+        F.when(F.col("sent") % 13 == 0, "  ").otherwise(" ").alias("sp"),
+        F.when(F.col("rest") == "", ".").otherwise(join(" ", F.col("rest"), ".")).alias("tail"),
+    )
+    plain, sp, tail = F.col("plain"), F.col("sp"), F.col("tail")
+    shown = F.when(number % 28 == 0, "omitted").otherwise(c2)
+    text = join(plain, sp, shown, " and ", e2, tail)
+    first = join(F.col("marked"), sp, c2, " and ", e2, tail)
+    second = join(plain, sp, "<ARG0>", c2, "</ARG0> and <ARG1>", e2, "</ARG1>", tail)
+
+    def relation(eg_id, text, text_w_pairs):
+        return F.struct(
+            F.lit(eg_id).cast("bigint").alias("eg_id"),
+            text.alias("text"),
+            text_w_pairs.alias("text_w_pairs"),
+        )
+
+    short = join(F.col("s"), ".")
+    relations = (
+        F.when(~F.col("is_pair"), F.array(relation(0, short, short)))
+        .when(number % 4 == 0, F.array(relation(0, text, first), relation(1, text, second)))
+        .otherwise(F.array(relation(0, text, first)))
+    )
+    rows = built.select("src_id", "source", "sent", "is_pair", F.inline_outer(relations))
+    quality = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("src_id"), "quality")
+    number_text = F.col("src_id").cast("string")
+    return rows.join(quality, "src_id", "left").select(
+        F.col("source").alias("corpus"),
+        join(
+            "wsj_",
+            F.lpad((F.col("src_id") % 25).cast("string"), 2, "0"),
+            F.lpad(number_text, 9, "0"),
+        ).alias("doc_id"),
+        F.col("sent").cast("bigint").alias("sent_id"),
+        "eg_id",
+        "src_id",
+        "text",
+        "text_w_pairs",
+        (1 + F.col("sent") % 3).cast("bigint").alias("num_sents"),
+        F.coalesce(F.col("quality"), F.lit(0)).cast("bigint").alias("seq_label"),
+        F.col("is_pair").cast("bigint").alias("pair_label"),
     )
 
 
@@ -268,7 +361,7 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.split("text", "[.\n]+"), lambda s: F.trim(s)), lambda s: s != ""
     )
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         .select(F.col("doc_id").cast("string").alias("index"), "doc_id", parts.alias("parts"))
         .select(
             "index",

@@ -42,18 +42,18 @@ NO_SENT_FILTER = ("altlex", "because", "semeval")
 PAIR_KEY = ["corpus", "doc_id", "sent_id", "example_id", "text"]
 
 
-def annotate_pairs(pairs: DataFrame, task: str) -> DataFrame:
-    """Rows, tokens, tags and tagged text of a pair file for one task."""
+def select_pairs(pairs: DataFrame, task: str) -> DataFrame:
+    """The rows of a pair file that a task uses, with their tagged text."""
     rows = (filters.first_relation if task == SEQUENCE else filters.positive_pairs)(pairs)
+    return rows.withColumn("tagged_text", map_tags(F.col("text_w_pairs"), "arg")).withColumnsRenamed(
+        {"eg_id": "example_id", "seq_label": "labels"}
+    )
+
+
+def tag_pairs(rows: DataFrame) -> DataFrame:
+    """Tokens and BIO tags. Run it last: until then the rows travel without arrays."""
     marked = F.col("text_w_pairs")
-    rows = rows.withColumns(
-        {
-            "tokens": marked_tokens(marked),
-            "tags": marked_tags(marked),
-            "tagged_text": map_tags(marked, "arg"),
-        }
-    ).withColumnsRenamed({"eg_id": "example_id", "seq_label": "labels"})
-    return rows
+    return rows.withColumns({"tokens": marked_tokens(marked), "tags": marked_tags(marked)})
 
 
 def filter_test(
@@ -76,7 +76,7 @@ def _pairs(
     spark, corpus, task, data_dir, num_sent, num_causal, plicit, seed, tokenizer
 ) -> DataFrame:
     def read(name: str) -> DataFrame:
-        return annotate_pairs(readers.read_pairs_csv(spark, os.path.join(data_dir, name)), task)
+        return select_pairs(readers.read_pairs_csv(spark, os.path.join(data_dir, name)), task)
 
     if corpus in ONE_FILE:
         rows = read(ONE_FILE[corpus])
@@ -87,7 +87,8 @@ def _pairs(
         rest, test = (read(f"{TWO_FILES[corpus]}_{part}.csv") for part in ("train", "test"))
     test = filter_test(test, corpus, task, num_sent, num_causal, plicit)
     key = [*PAIR_KEY, "text_w_pairs"]
-    return splits.split_train_valid(rest, test, seed, key).unionByName(_with_split(test, "test"))
+    parts = splits.split_train_valid(rest, test, seed, key)
+    return tag_pairs(parts.unionByName(_with_split(test, "test")))
 
 
 def annotate_phrases(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
