@@ -86,7 +86,7 @@ def _spans(dialect: str, source: str) -> str:
           WHERE {_size(dialect)} >= 8)"""
 
 
-def _ann_select(dialect: str, sents: str, labels: str) -> str:
+def _ann_select(sents: str, labels: str) -> str:
     plain, marked = _head("c1", "e1"), _head("'<ARG0>' || c1 || '</ARG0>'", "'<ARG1>' || e1 || '</ARG1>'")
     return f"""
   SELECT r.source AS corpus,
@@ -102,7 +102,7 @@ def _ann_select(dialect: str, sents: str, labels: str) -> str:
         SELECT *, {plain} AS head_plain, {marked} AS head_marked FROM (
           SELECT *, (src_id * 7 + sent) % 6 AS layout, CASE WHEN sent % 13 = 0 THEN '  ' ELSE ' ' END AS sp,
             CASE WHEN rest = '' THEN '.' ELSE ' ' || rest || '.' END AS tail
-          FROM ({_spans(dialect, sents)}) AS spans) AS a) AS b) AS c
+          FROM ({_spans('duckdb', sents)}) AS spans) AS a) AS b) AS c
     UNION ALL
     SELECT src_id, source, sent, 1 AS eg_id, text,
       head_plain || sp || '<ARG0>' || c2 || '</ARG0> and <ARG1>' || e2 || '</ARG1>' || tail AS text_w_pairs,
@@ -112,11 +112,11 @@ def _ann_select(dialect: str, sents: str, labels: str) -> str:
         SELECT *, {plain} AS head_plain FROM (
           SELECT *, (src_id * 7 + sent) % 6 AS layout, CASE WHEN sent % 13 = 0 THEN '  ' ELSE ' ' END AS sp,
             CASE WHEN rest = '' THEN '.' ELSE ' ' || rest || '.' END AS tail
-          FROM ({_spans(dialect, sents)}) AS spans) AS a) AS b
+          FROM ({_spans('duckdb', sents)}) AS spans) AS a) AS b
       WHERE (src_id + sent) % 4 = 0) AS c
     UNION ALL
     SELECT src_id, source, sent, 0 AS eg_id, s || '.' AS text, s || '.' AS text_w_pairs, 0 AS is_pair
-    FROM {sents} WHERE {_size(dialect)} < 8
+    FROM {sents} WHERE len(words) < 8
   ) AS r LEFT JOIN {labels} AS l ON l.doc_id = r.src_id"""
 
 
@@ -213,7 +213,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PAIRS_SQL = f"{SENTENCES_SQL}, ann AS ({_ann_select('duckdb', 'sents', 'labels')})"
+ANN_SQL = f"ann AS ({_ann_select('sents', 'labels')})"
+PAIRS_SQL = f"{SENTENCES_SQL}, {ANN_SQL}"
 
 # One row per token of every pair, tagged by the last marker at or before it.
 TOKENS_SQL = """
