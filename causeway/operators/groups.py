@@ -7,7 +7,6 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.markup import numbered_span
@@ -20,9 +19,14 @@ ARRAY_LIMIT = 1_000
 
 def filter_num_causal(df: DataFrame, mode: str, keys: list[str] = GROUP_KEY) -> DataFrame:
     """``single``: sentences with one relation; ``multi``: with several, as they are."""
-    sized = with_group_size(df, keys, "_relations")
-    wanted = F.col("_relations") == 1 if mode == "single" else F.col("_relations") > 1
-    return sized.where(wanted).drop("_relations")
+    if mode == "multi":
+        sized = with_group_size(df, keys, "_relations")
+        return sized.where(F.col("_relations") > 1).drop("_relations")
+    # A lone row is its group's any value, so no join is needed, and a hot key
+    # is down to one row per task before the shuffle.
+    rest = F.struct(*[c for c in df.columns if c not in keys])
+    lone = df.groupBy(*keys).agg(F.count("*").alias("_relations"), F.any_value(rest).alias("_row"))
+    return lone.where("_relations = 1").select(*keys, "_row.*").select(*df.columns)
 
 
 def _wrap(text: Column, span: Column, letter: str, number: Column) -> Column:
@@ -76,17 +80,20 @@ def merge_causal_groups(
     columns come from the first relation.
 
     The fold is ordered and its result is one cell, so a sentence stays in one
-    task; it is streamed there once it has more than ``array_limit`` relations.
+    task. Up to ``array_limit`` relations are folded from an array; a sentence
+    with more is streamed through its task in order instead. Sizes are counted
+    map-side first, and where no sentence is that long, adaptive execution drops
+    the second way.
     """
     named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    width = Window.partitionBy(*keys)
     relations = df.where(named).withColumns(
         {
             "_cause": numbered_span(F.col("tagged_text"), "c", F.lit("")),
             "_effect": numbered_span(F.col("tagged_text"), "e", F.lit("")),
-            "_size": F.count("*").over(width),
         }
     )
+    sizes = relations.groupBy(*keys).agg(F.count("*").alias("_size"))
+    long_keys = sizes.where(F.col("_size") > array_limit).select(*keys)
     others = [c for c in df.columns if c not in keys and c != "tagged_text"]
     # Rows that agree on the order column are told apart by their markup.
     rank = F.struct(order, "tagged_text")
@@ -96,7 +103,7 @@ def merge_causal_groups(
         lambda text, r: _wrap(_wrap(text, r["cause"], "c", r["n"]), r["effect"], "e", r["n"]),
     )
     short = (
-        relations.where(F.col("_size") <= array_limit)
+        relations.join(long_keys, keys, "left_anti")
         .groupBy(*keys)
         .agg(
             F.array_sort(
@@ -122,7 +129,8 @@ def merge_causal_groups(
     )
     columns = [*keys, *others, "tagged_text"]
     streamed = (
-        relations.where(F.col("_size") > array_limit)
+        relations.join(long_keys, keys, "left_semi")
+        .repartition(*keys)
         .sortWithinPartitions(*keys, order, "tagged_text")
         .select(*columns, "_cause", "_effect")
     )

@@ -91,10 +91,12 @@ def test_group_sizes_are_counted_before_the_shuffle(spark, tmp_path):
     assert "partial_count" in text
 
 
-def test_merge_shuffles_once(spark, tmp_path):
+def test_merge_drops_the_streamed_way_when_unused(spark, tmp_path):
     path = str(tmp_path / "rows")
     schema = "corpus string, doc_id string, sent_id bigint, example_id bigint, text string, tagged_text string"
     spark.createDataFrame([("c", "d", 1, 0, "a b", "<c>a</c> <e>b</e>")], schema).write.parquet(path)
     merged = groups.merge_causal_groups(spark.read.parquet(path))
-    short_branch = plan(merged, "simple").split("MapInPandas")[0]
-    assert short_branch.count("Exchange hashpartitioning") == 1
+    assert "partial_count" in plan(merged, "simple") and "Window" not in plan(merged, "simple")
+    assert [r.tagged_text for r in merged.collect()] == ["<c1>a</c1> <e1>b</e1>"]
+    final = plan(merged, "simple").split("Initial Plan")[0]
+    assert "LeftSemi" not in final and "LeftAnti" not in final
