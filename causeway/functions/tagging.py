@@ -155,45 +155,41 @@ def aligned_tags(tagged: Column, tokens: Column) -> Column:
 
 def _aligned(tagged: Column, tokens: Column) -> Column:
     def by_segment(segments: Column) -> Column:
-        openers = F.concat(
-            F.array(F.lit("")), F.regexp_extract_all(tagged, F.lit(f"({SPAN_TAG})"), F.lit(1))
+        # Segment j lies behind the j-th tag; what that tag opens is its kind.
+        opened = F.transform(
+            F.regexp_extract_all(tagged, F.lit(f"({SPAN_TAG})"), F.lit(1)),
+            lambda mark: F.when(mark.startswith("<c"), "C").when(mark.startswith("<e"), "E").otherwise("O"),
         )
-        segment_of_char = F.flatten(
-            F.transform(segments, lambda s, j: F.array_repeat(j, F.length(s)))
-        )
-        token_of_char = F.flatten(F.transform(tokens, lambda t, i: F.array_repeat(i, F.length(t))))
-        return let(
-            F.arrays_zip(segment_of_char.alias("seg"), token_of_char.alias("tok")),
-            lambda chars: let(openers, lambda marks: by_char(chars, marks)),
+        chars = F.struct(
+            F.concat(F.array(F.lit("O")), opened).alias("kinds"),
+            F.flatten(F.transform(segments, lambda s, j: F.array_repeat(j, F.length(s)))).alias("seg"),
+            F.flatten(F.transform(tokens, lambda t, i: F.array_repeat(i, F.length(t)))).alias("tok"),
+            F.size(F.filter(segments, lambda s: s != "")).alias("filled"),
         )
+        return let(chars, by_char)
 
-    def by_char(chars: Column, marks: Column) -> Column:
-        def before(i: Column, name: str) -> Column:
-            return F.get(chars, i - 1)[name]
+    def by_char(chars: Column) -> Column:
+        seg, tok, kinds = chars["seg"], chars["tok"], chars["kinds"]
 
-        split_token = F.exists(
-            F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))),
-            lambda i: (F.get(chars, i)["seg"] != before(i, "seg"))
-            & (F.get(chars, i)["tok"] == before(i, "tok")),
-        )
-        heads = F.filter(chars, lambda c, i: (i == 0) | (before(i, "tok") != c["tok"]))
-        tags = let(
-            heads,
-            lambda h: F.transform(
-                h,
-                lambda c, k: tag(
-                    F.get(marks, c["seg"]), (k == 0) | (F.get(h, k - 1)["seg"] != c["seg"])
-                ),
-            ),
-        )
-        return F.when(split_token, by_scan()).otherwise(tags)
+        def enters(i: Column) -> Column:
+            return (i == 0) | (F.get(seg, i) != F.get(seg, i - 1))
 
-    def tag(mark: Column, first: Column) -> Column:
-        return (
-            F.when(mark.startswith("<c"), F.when(first, "B-C").otherwise("I-C"))
-            .when(mark.startswith("<e"), F.when(first, "B-E").otherwise("I-E"))
-            .otherwise("O")
+        def tag(i: Column) -> Column:
+            kind = F.get(kinds, F.get(seg, i))
+            return F.when(kind == "O", "O").otherwise(
+                F.concat(F.when(enters(i), "B-").otherwise("I-"), kind)
+            )
+
+        def finish(heads: Column) -> Column:
+            # Each filled segment must begin at a token, or a tag cuts one.
+            whole = F.size(F.filter(heads, enters)) == chars["filled"]
+            return F.when(whole, F.transform(heads, tag)).otherwise(by_scan())
+
+        heads = F.filter(
+            F.sequence(F.lit(0), F.size(tok) - 1),
+            lambda i: (i == 0) | (F.get(tok, i) != F.get(tok, i - 1)),
         )
+        return F.when(F.size(tok) == 0, F.array().cast("array<string>")).otherwise(let(heads, finish))
 
     def by_scan() -> Column:
         start = F.struct(

@@ -292,6 +292,23 @@ def merged_multi(spark, sf):
     return rows.select("corpus", "doc_id", "sent_id", "tagged_text")
 
 
+@query(
+    "numbered_spans",
+    f"""{_MERGED} SELECT corpus, doc_id, sent_id, {', '.join(
+      f"array_to_string(list_transform(regexp_extract_all(tagged_text, '<{x}([0-9]*)>(.*?)</{x}([0-9]*)>', 2), lambda s: '[' || trim(s) || ']'), ' ') AS {name}"
+      for x, name in (("c", "causes"), ("e", "effects")))} FROM merged WHERE tagged_text IS NOT NULL""",
+)
+def numbered_spans(spark, sf):
+    rows = groups.causal_groups(span_rows(spark, sf), "all")
+    return rows.select(
+        "corpus",
+        "doc_id",
+        "sent_id",
+        markup.bracketed_spans(F.col("tagged_text"), "c").alias("causes"),
+        markup.bracketed_spans(F.col("tagged_text"), "e").alias("effects"),
+    )
+
+
 for _mode, _test in (("intra", "num_sents = 1"), ("inter", "num_sents >= 2")):
 
     @query(
@@ -714,6 +731,17 @@ def pad_mask(spark, sf):
     )
 
 
+@query(
+    "max_length",
+    f"""{_ANN} SELECT least(max(len(string_split(text, ' '))) + 2, 512)::BIGINT AS max_length FROM ann
+    WHERE eg_id = 0 AND NOT {_TEST}""",
+)
+def max_length(spark, sf):
+    rows = filters.first_relation(views.pairs(spark, sf))
+    train = rows.where(~filters.is_test_doc(F.col("doc_id"))).select(F.split("text", " ").alias("ids"))
+    return spans.max_length(train, "ids", 2, 512).select(F.col("max_length").cast("bigint"))
+
+
 @query(
     "concat_sep",
     f"""WITH {views.INSTANCES_SQL} SELECT example_id, md5(array_to_string(list_transform(

@@ -285,6 +285,21 @@ def exact_match_tags(spark, sf):
     return _rounded(out, ["exact_match"])
 
 
+@query(
+    "tag_quarantine",
+    f"""{_WORDS} SELECT doc_id, sent_id, example_id, CASE WHEN len(list_filter(pred,
+      lambda t: t NOT IN ('O', 'I-C', 'I-E', 'B-C', 'B-E'))) = 0 THEN 'valid' ELSE 'rejected' END AS status FROM word_preds""",
+)
+def tag_quarantine(spark, sf):
+    rows = _word_predictions(spark, sf).select("doc_id", "sent_id", "example_id", "pred")
+    valid, rejected = filters.quarantine(rows, filters.valid_tags(F.col("pred")))
+    return (
+        valid.withColumn("status", F.lit("valid"))
+        .unionByName(rejected.withColumn("status", F.lit("rejected")))
+        .drop("pred")
+    )
+
+
 _WORD_LABELS = ["B-C", "I-C", "B-E", "I-E", "O"]
 
 

@@ -20,6 +20,7 @@ WITH_PYTHON = {
     "scored_prompts",
     "merged_groups",
     "merged_multi",
+    "numbered_spans",
     "explicit_merged",
     "load_span_corpus",
 }
