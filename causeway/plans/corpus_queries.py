@@ -125,7 +125,7 @@ def tag_inventory(spark, sf):
     "normalized_ids",
     """SELECT doc_id, 'fincausal2_' || doc_id AS example_id, ('2' || doc_id)::BIGINT AS digits,
       TRY_CAST(regexp_replace(source || lang, '[^0-9]', '', 'g') AS BIGINT) AS source_digits,
-      TRY_CAST(regexp_replace(lang, '[^0-9]', '', 'g') AS BIGINT) AS none FROM documents""",
+      coalesce(TRY_CAST(regexp_replace(lang, '[^0-9]', '', 'g') AS BIGINT), -1) AS none FROM documents""",
 )
 def normalized_ids(spark, sf):
     made = filters.make_id("fincausal2", F.col("doc_id"))
@@ -134,7 +134,7 @@ def normalized_ids(spark, sf):
         made.alias("example_id"),
         filters.normalize_id(made).alias("digits"),
         filters.normalize_id(F.concat("source", "lang")).alias("source_digits"),
-        filters.normalize_id(F.col("lang")).alias("none"),
+        F.coalesce(filters.normalize_id(F.col("lang")), F.lit(-1).cast("bigint")).alias("none"),
     )
 
 
@@ -574,37 +574,36 @@ def head_limit(spark, sf):
 
 @query(
     "corpus_profile",
-    f"""SELECT source, split, count(*) AS n_rows, count(*) FILTER (quality = 1) AS n_pos,
+    f"""SELECT coalesce(source, '(all)') AS source, coalesce(split, '(all)') AS split, count(*) AS n_rows, count(*) FILTER (quality = 1) AS n_pos,
       count(*) FILTER (quality = 0) AS n_neg FROM {_SPLIT} s JOIN labels l ON l.doc_id = s.doc_id
-    GROUP BY ROLLUP (source, split)""",
+    GROUP BY ROLLUP (s.source, s.split)""",
 )
 def corpus_profile(spark, sf):
     rows = splits.split_80_10_10(documents(spark, sf), SEED, ["doc_id"])
-    return report.corpus_profile(
-        rows.join(views.table(spark, sf, "labels"), "doc_id"), "source", "quality"
-    )
+    labelled = rows.join(views.table(spark, sf, "labels"), "doc_id")
+    profile = report.corpus_profile(labelled, "source", "quality")
+    return profile.fillna("(all)", ["source", "split"])
 
 
 @query(
     "union_all",
     f"""{_ANN} SELECT eg_id AS example_id, text, seq_label AS labels, 'train' AS split FROM ann WHERE eg_id = 0
-    UNION ALL SELECT ('2' || doc_id)::BIGINT, text, NULL, 'valid' FROM documents
-    UNION ALL SELECT (conv_id || '' || turn)::BIGINT, text, NULL, 'test' FROM conversations""",
+    UNION ALL SELECT ('2' || doc_id)::BIGINT, text, n_chars % 2, 'valid' FROM documents
+    UNION ALL SELECT (conv_id || '' || turn)::BIGINT, text, turn % 2, 'test' FROM conversations""",
 )
 def union_all(spark, sf):
-    empty = F.lit(None).cast("bigint").alias("labels")
     frames = [
         sequence_rows(spark, sf).withColumn("split", F.lit("train")),
         documents(spark, sf).select(
             filters.make_id("fincausal2", F.col("doc_id")).alias("example_id"),
             "text",
-            empty,
+            (F.col("n_chars") % 2).alias("labels"),
             F.lit("valid").alias("split"),
         ),
         views.table(spark, sf, "conversations").select(
             filters.make_id("kessan", F.col("conv_id"), F.col("turn")).alias("example_id"),
             "text",
-            empty,
+            (F.col("turn") % 2).alias("labels"),
             F.lit("test").alias("split"),
         ),
     ]

@@ -134,8 +134,9 @@ def class_recall(spark, sf):
 @query(
     "full_report",
     f"""{_RECALL}, a AS ({_scores_sql(['1'], 'binary', 'source', 'p')})
-    SELECT a.*, max(r.recall) FILTER (class_index = 0) AS accuracy_0,
-      max(r.recall) FILTER (class_index = 1) AS accuracy_1, max(r.recall) FILTER (class_index = 2) AS accuracy_2
+    SELECT a.*, coalesce(max(r.recall) FILTER (class_index = 0), -1) AS accuracy_0,
+      coalesce(max(r.recall) FILTER (class_index = 1), -1) AS accuracy_1,
+      coalesce(max(r.recall) FILTER (class_index = 2), -1) AS accuracy_2
     FROM a JOIN r ON r.source = a.source GROUP BY ALL""",
 )
 def full_report(spark, sf):
@@ -143,7 +144,9 @@ def full_report(spark, sf):
     scores = report.score(table, ["1"], "binary", ["source"])
     both = report.with_class_recall(scores, report.class_recall(table, ["source"]), ["source"])
     places = {
-        f"accuracy_{i}": F.round(F.try_element_at("class_accuracy", F.lit(f"accuracy_{i}")), 6)
+        f"accuracy_{i}": F.coalesce(
+            F.round(F.try_element_at("class_accuracy", F.lit(f"accuracy_{i}")), 6), F.lit(-1.0)
+        )
         for i in range(3)
     }
     return _rounded(both, _SCORES).withColumns(places).drop("class_accuracy")
@@ -156,12 +159,13 @@ def response_classes(spark, sf):
 
 @query(
     "output_join",
-    f"""WITH {views.CLASS_RESPONSES_SQL} SELECT d.doc_id, d.source, p.output FROM documents d
+    f"""WITH {views.CLASS_RESPONSES_SQL} SELECT d.doc_id, d.source, coalesce(p.output, '(none)') AS output FROM documents d
     LEFT JOIN preds p ON p.doc_id = d.doc_id""",
 )
 def output_join(spark, sf):
     rows = views.table(spark, sf, "documents").select("doc_id", "source")
-    return prompting.attach_outputs(rows, views.class_responses(spark, sf), ["doc_id"])
+    joined = prompting.attach_outputs(rows, views.class_responses(spark, sf), ["doc_id"])
+    return joined.fillna("(none)", ["output"])
 
 
 @query(
