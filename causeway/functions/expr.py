@@ -42,11 +42,6 @@ def fill(template: str, *values: Column) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def escape_regex(column: Column) -> Column:
-    """Backslash-escape every regex metacharacter of a string column."""
-    return F.regexp_replace(column, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-
-
 def first_gap(numbers: Column) -> Column:
     """Largest k such that '1'..'k' all occur in an array of digit strings."""
     return let(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Elements of a chain that one window function sorts at a time.
+BLOCK = 1_000
+
 
 
 def clean_events(events: Column) -> Column:
@@ -35,41 +38,46 @@ def chain_pairs(instances: DataFrame, prefix: str = "reco") -> DataFrame:
 
 
 def chain_pairs_from_elements(
-    elements: DataFrame, key: str, pos: str, prefix: str = "reco"
+    elements: DataFrame, key: str, pos: str, prefix: str = "reco", block: int = BLOCK
 ) -> DataFrame:
     """The same windows from one row per chain element.
 
     ``pos`` is the element's index in its chain (0, 1, 2, ... without gaps).
-    Each element goes to the up to three windows it belongs to, keyed by chain
-    and start, so a window is put together from three rows and no chain is ever
-    gathered in one place.
+    Chains are cut into blocks of ``block`` elements, and the first two elements
+    of a block go to the block before as well, so every window is whole inside
+    one block. A chain of any length is spread over tasks, each element is
+    shuffled once, and a window function never sees more than a block.
     """
-    spread = elements.select(
+    number = F.floor(F.col(pos) / block)
+    spills = (F.col(pos) % block < 2) & (number > 0)
+    blocks = F.when(spills, F.array(number, number - 1)).otherwise(F.array(number))
+    placed = elements.select(
         key,
-        F.replace("event", F.lit("_"), F.lit(" ")).alias("event"),
+        F.col(pos).alias("_pos"),
+        F.replace("event", F.lit("_"), F.lit(" ")).alias("_event"),
         "short_context",
         "label",
-        F.explode(F.array(*[F.lit(o) for o in (0, 1, 2)])).alias("_at"),
-        F.col(pos).cast("int").alias("_pos"),
-    ).withColumn("_i", F.col("_pos") - F.col("_at"))
+        F.explode(blocks).alias("_block"),
+    )
+    order = Window.partitionBy(key, "_block").orderBy("_pos")
 
-    def pick(column: str, at: int) -> Column:
-        return F.max(F.when(F.col("_at") == at, F.col(column)))
+    def run(column: str, length: int) -> Column:
+        return F.array(F.col(column), *[F.lead(column, n).over(order) for n in range(1, length)])
 
-    windows = (
-        spread.where("_i >= 0")
-        .groupBy(key, "_i")
-        .agg(
-            F.count("*").alias("_n"),
-            F.array(*[pick("event", at) for at in (0, 1, 2)]).alias("events"),
-            F.array(*[pick("short_context", at) for at in (0, 1)]).alias("short_contexts"),
-            F.max("label").alias("label"),
-        )
-        .where("_n = 3")
-    )
+    windows = placed.select(
+        key,
+        "_pos",
+        "_block",
+        "label",
+        run("_event", 3).alias("events"),
+        run("short_context", 2).alias("short_contexts"),
+        F.lead("_pos", 2).over(order).alias("_last"),
+    ).where((F.floor(F.col("_pos") / block) == F.col("_block")) & F.col("_last").isNotNull())
     return windows.select(
-        F.concat_ws("_", F.lit(prefix), F.col(key).cast("string"), F.col("_i").cast("string")).alias("example_id"),
+        F.concat_ws("_", F.lit(prefix), F.col(key).cast("string"), F.col("_pos").cast("string")).alias(
+            "example_id"
+        ),
         "events",
         "short_contexts",
-        _pair_label(F.col("label"), F.col("_i")).alias("labels"),
+        _pair_label(F.col("label"), F.col("_pos")).alias("labels"),
     )

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 BUCKET_DIGITS = 4
 
 Part = tuple[str, Column]
-_AUX = ["_hash", "_bucket"]
 
 
 def seeded_hash(seed: int, keys: list[str]) -> Column:

@@ -19,6 +19,12 @@ LAYOUTS = {SEQUENCE: "class", SPAN: "span", CHAIN: "chain"}
 # Tags scored in the per-word report and metrics that are rounded.
 WORD_LABELS = ["B-C", "I-C", "B-E", "I-E", "O"]
 SCORES = ["f1", "accuracy", "precision", "recall"]
+# Names of the filters in a report.
+FILTER_ENTRIES = {
+    "num_sent": "intra-/inter-sent",
+    "num_causal": "single-/multi-causal",
+    "plicit": "ex-/im-plicit",
+}
 
 # Columns that tell examples apart when sampling.
 SAMPLE_KEYS = {
@@ -94,6 +100,12 @@ def prediction_rows(predictions: DataFrame, task: str, by_word: bool = False) ->
     )
 
 
+def describe_run(task: str, corpus: str, options: dict[str, str]) -> dict[str, str]:
+    """Report entries that tell what was run."""
+    entries = {"task_type": task, "dataset_type": corpus}
+    return entries | {FILTER_ENTRIES[name]: value for name, value in options.items()}
+
+
 def evaluate_prompts(
     spark: SparkSession,
     task: str,
@@ -135,7 +147,7 @@ def evaluate_prompts(
     scores = filters.with_metadata(
         prompt_report(predictions, task, by_word),
         **run,
-        **{f"filter_{name}": value for name, value in options.items()},
+        **describe_run(task, corpus, options),
         template=template_name,
         shot=shot,
         seed=seed,

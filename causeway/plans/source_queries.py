@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import TEMPLATES
-from ..operators import prompting, report, spans
+from ..operators import prompting, report
 from ..sources import corpora, readers, rules, sinks
 from . import views
 from .corpus_queries import MERGED_SQL, SEED, documents

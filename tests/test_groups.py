@@ -146,8 +146,26 @@ def test_chain_pairs(spark):
     }
     elements = frame.select("index", "label", "short_contexts", F.posexplode("events").alias("pos", "event"))
     elements = elements.withColumn("short_context", F.get("short_contexts", "pos"))
-    again = chains.chain_pairs_from_elements(elements, "index", "pos").collect()
-    assert {r.example_id: (r.events, r.short_contexts, r.labels) for r in again} == got
+    for block in (1000, 2):
+        again = chains.chain_pairs_from_elements(elements, "index", "pos", block=block).collect()
+        assert {r.example_id: (r.events, r.short_contexts, r.labels) for r in again} == got
+
+
+@pytest.mark.parametrize("block", [2, 3, 7, 1000])
+def test_long_chains_in_blocks(spark, block):
+    """One chain of 100 elements and many short ones, whatever the block size."""
+    rows = [(0, i, f"e{i}", f"c{i}", 3) for i in range(100)]
+    rows += [(k, i, f"e{k}.{i}", None, 0) for k in range(1, 30) for i in range(k % 5)]
+    frame = spark.createDataFrame(rows, "k int, pos int, event string, short_context string, label int")
+    want = {}
+    for k, i, *_ in rows:
+        chain = [r for r in rows if r[0] == k]
+        if i + 2 < len(chain):
+            label = 0 if chain[0][4] == i + 2 else 1
+            want[f"reco_{k}_{i}"] = ([r[2] for r in chain[i : i + 3]], [r[3] for r in chain[i : i + 2]], label)
+    got = chains.chain_pairs_from_elements(frame, "k", "pos", block=block).collect()
+    assert {r.example_id: (r.events, r.short_contexts, r.labels) for r in got} == want
+    assert len(got) == len(want)
 
 
 def test_quarantine(spark):
