@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.markup import bracketed_spans
 from ..functions.parsing import (
@@ -62,13 +61,18 @@ def check_shots(k: int) -> int:
 def score_prompts(
     df: DataFrame, scorer: Callable[[pd.Series], pd.Series], prompt: str = "prompt"
 ) -> DataFrame:
-    """Add ``output`` by calling a user's scorer on Arrow batches of prompts."""
+    """Add ``output`` by calling a user's scorer on Arrow batches of prompts.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only the prompts go to Python. The scorer counts as non-deterministic, so no
+    rewrite of the plan calls it twice for a row.
+    """
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.assign(output=scorer(batch[prompt]))
+            yield scorer(batch)
 
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("output", StringType())]))
+    return df.withColumn("output", run.asNondeterministic()(F.col(prompt)))
 
 
 def attach_outputs(df: DataFrame, outputs: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,15 +1,16 @@
 """Exact-size, reproducible samples and splits.
 
 Rows are ordered by the md5 of seed and key, so membership depends on nothing
-but those. Places in that order are found without sorting the data: rows are
+but those. Borders in that order are found without sorting the data: rows are
 counted per hash bucket, and running totals over the buckets (a bounded table)
-give every bucket its range of ranks. A bucket that lies inside one part needs
-no rank per row; only the few buckets that hold a border are sorted.
+tell which buckets hold a border. Only hashes in those are sorted, to find the
+hash at each border; after that a row's part is a comparison of its hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 # which bounds the broadcast table and keeps a bucket to 1/65,536 of the rows.
 BUCKET_DIGITS = 4
 
-Part = tuple[str, Column]
+# Name and last rank of a part; None stands for all the rest.
+Part = tuple[str, Column | None]
 
 
 def seeded_hash(seed: int, keys: list[str]) -> Column:
@@ -26,9 +28,11 @@ def seeded_hash(seed: int, keys: list[str]) -> Column:
 
 
 def _hashed(df: DataFrame, seed: int, keys: list[str]) -> DataFrame:
-    return df.withColumn("_hash", seeded_hash(seed, keys)).withColumn(
-        "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
-    )
+    return df.withColumn("_hash", seeded_hash(seed, keys))
+
+
+def _bucketed(hashed: DataFrame) -> DataFrame:
+    return hashed.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
 
 
 def _ranges(hashed: DataFrame) -> DataFrame:
@@ -49,16 +53,14 @@ def _ranges(hashed: DataFrame) -> DataFrame:
     )
 
 
-def _rank_in_bucket(keys: list[str]) -> Column:
-    within = Window.partitionBy("_bucket").orderBy("_hash", *keys)
-    return F.col("_from") + F.row_number().over(within) - 1
-
-
 def global_rank(df: DataFrame, seed: int, keys: list[str], name: str = "rank") -> DataFrame:
     """Rank of every row in the seeded order, 1 to n."""
-    hashed = _hashed(df, seed, keys)
+    hashed = _bucketed(_hashed(df, seed, keys))
     ranges = F.broadcast(_ranges(hashed).select("_bucket", "_from"))
-    ranked = hashed.join(ranges, "_bucket").withColumn(name, _rank_in_bucket(keys))
+    within = Window.partitionBy("_bucket").orderBy("_hash", *keys)
+    ranked = hashed.join(ranges, "_bucket").withColumn(
+        name, F.col("_from") + F.row_number().over(within) - 1
+    )
     return ranked.select(*df.columns, name)
 
 
@@ -67,6 +69,14 @@ def shuffle(df: DataFrame, seed: int, keys: list[str]) -> DataFrame:
     return df.orderBy(seeded_hash(seed, keys), *keys)
 
 
+def _borders(parts: list[Part]) -> list[Column]:
+    return [last for _, last in parts if last is not None]
+
+
+def _any(borders: list[Column], test: Callable[[Column], Column]) -> Column:
+    return reduce(lambda a, b: a | b, [test(border) for border in borders])
+
+
 def cut(
     df: DataFrame,
     seed: int,
@@ -77,28 +87,60 @@ def cut(
     """Cut the seeded order into named parts of exact size.
 
     ``parts`` gets the number of rows and returns (name, last rank) pairs in
-    order; rows past the last border are dropped.
+    order; rows past the last border are dropped. Keys should identify a row:
+    rows with equal keys count as they are, but if a border falls among them
+    they are ranked in one task. Otherwise that step is empty, and adaptive
+    execution drops it, so rows are read once and never shuffled.
     """
     hashed = _hashed(df, seed, keys)
+    hashes = _bucketed(hashed.select("_hash"))
+    ranges = _ranges(hashes)
+    named = parts(F.col("_total"))
+    borders = _borders(named)
+    # The first bucket is always taken, so that the total is at hand in any case.
+    at_bucket = _any(borders, lambda b: (b >= F.col("_from")) & (b <= F.col("_to")))
+    near = F.broadcast(ranges.where(at_bucket | (F.col("_from") == 1)))
+    upto = Window.partitionBy("_bucket").orderBy("_hash").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        hashes.join(near, "_bucket")
+        .groupBy("_bucket", "_from", "_total", "_hash")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_last", F.col("_from") + F.sum("_n").over(upto) - 1)
+        .withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    )
 
-    def part_at(rank: Column) -> Column:
-        borders = parts(F.col("_total"))
-        found = F.when(rank <= borders[0][1], borders[0][0])
-        for label, last in borders[1:]:
-            found = found.when(rank <= last, label)
-        return F.coalesce(found, F.lit(""))
+    def holds(border: Column) -> Column:
+        return (border >= F.col("_first")) & (border <= F.col("_last"))
 
-    ranges = _ranges(hashed).withColumns(
-        {"_head": part_at(F.col("_from")), "_tail": part_at(F.col("_to"))}
+    # Hash digits end at f, so "g" lies behind every hash and "" before.
+    found = [F.max(F.when(holds(b), F.col("_hash"))).alias(f"_{i}") for i, b in enumerate(borders)]
+    limits = F.struct(
+        *[
+            F.when(b <= 0, "").when(b >= F.col("_total"), "g").otherwise(F.col(f"_{i}")).alias(f"_{i}")
+            for i, b in enumerate(borders)
+        ]
+    )
+    limits = ranked.agg(F.max("_total").alias("_total"), *found).select(limits).scalar()
+
+    def part_at(place: Column, ends: list[Column]) -> Column:
+        found = F.when(place <= ends[0], named[0][0])
+        for (label, _), end in zip(named[1:], ends[1:]):
+            found = found.when(place <= end, label)
+        return found if len(ends) == len(named) else found.otherwise(named[-1][0])
+
+    torn = ranked.where(_any(borders, lambda b: holds(b) & (b < F.col("_last"))))
+    torn = F.broadcast(torn.select("_hash", "_first", "_total"))
+    by_hash = part_at(F.col("_hash"), [F.col(f"_limits._{i}") for i in range(len(borders))])
+    whole = (
+        hashed.join(torn, "_hash", "left_anti").withColumn("_limits", limits).withColumn(name, by_hash)
     )
-    whole = F.broadcast(
-        ranges.where("_head = _tail AND _head <> ''").select("_bucket", F.col("_head").alias(name))
+    rank = F.col("_first") + F.row_number().over(Window.partitionBy("_hash").orderBy(*keys)) - 1
+    shared = (
+        hashed.join(torn, "_hash").withColumn("_rank", rank).withColumn(name, part_at(F.col("_rank"), borders))
     )
-    border = F.broadcast(ranges.where("_head <> _tail").select("_bucket", "_from", "_total"))
-    sure = hashed.join(whole, "_bucket").select(*df.columns, name)
-    ranked = hashed.join(border, "_bucket").withColumn("_rank", _rank_in_bucket(keys))
-    near = ranked.withColumn(name, part_at(F.col("_rank"))).where(F.col(name) != "")
-    return sure.unionByName(near.select(*df.columns, name))
+    columns = [*df.columns, name]
+    out = whole.select(*columns).unionByName(shared.select(*columns))
+    return out if len(borders) < len(named) else out.where(F.col(name).isNotNull())
 
 
 def split_80_10_10(df: DataFrame, seed: int, keys: list[str]) -> DataFrame:
@@ -107,7 +149,7 @@ def split_80_10_10(df: DataFrame, seed: int, keys: list[str]) -> DataFrame:
     def parts(n: Column) -> list[Part]:
         held = F.ceil(n / 5)
         test = F.ceil(held / 2)
-        return [("train", n - held), ("valid", n - test), ("test", n)]
+        return [("train", n - held), ("valid", n - test), ("test", None)]
 
     return cut(df, seed, keys, parts)
 
@@ -122,7 +164,7 @@ def split_train_valid(train_valid: DataFrame, test: DataFrame, seed: int, keys:
 
     def parts(n: Column) -> list[Part]:
         valid = F.when(n_test * 4 < n, n_test).otherwise(F.floor(n / 5))
-        return [("train", n - valid), ("valid", n)]
+        return [("train", n - valid), ("valid", None)]
 
     return cut(train_valid, seed, keys, parts)
 

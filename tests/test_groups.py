@@ -127,6 +127,24 @@ def test_coarse_buckets_cut_at_the_same_rows(spark, monkeypatch):
     assert coarse == fine
 
 
+def test_equal_keys_keep_sizes_exact(spark):
+    """A third of all rows share one key; wherever the borders fall, sizes hold."""
+    frame = spark.range(90).selectExpr("if(id % 3 = 0, -1, id) AS k", "id")
+    for seed in range(6):
+        parts = splits.split_80_10_10(frame, seed, ["k"])
+        counts = {r.split: r.n_rows for r in splits.split_sizes(parts).collect()}
+        assert counts == {"train": 72, "valid": 9, "test": 9}, seed
+        assert parts.select("id").distinct().count() == 90
+
+
+def test_cut_may_leave_rows_out(spark):
+    ranked = {r.id: r["rank"] for r in splits.global_rank(spark.range(50), 5, ["id"]).collect()}
+    parts = lambda n: [("none", F.lit(0)), ("a", F.lit(3)), ("b", F.lit(10))]
+    got = {r.id: r.split for r in splits.cut(spark.range(50), 5, ["id"], parts).collect()}
+    assert got == {i: "a" if r <= 3 else "b" for i, r in ranked.items() if r <= 10}
+    assert splits.cut(spark.range(0), 5, ["id"], parts).count() == 0
+
+
 def test_head(spark):
     assert [r.id for r in splits.head(spark.range(10), 3, ["id"]).collect()] == [0, 1, 2]
     assert splits.head(spark.range(2), 3, ["id"]).count() == 2

@@ -76,13 +76,15 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "other" not in schema and "eg_id" not in schema
 
 
-def test_split_moves_only_border_buckets(spark, tmp_path):
-    """Rows travel only to rank border buckets; the bulk is cut by a broadcast join."""
+def test_split_reads_rows_once_and_moves_none(spark, tmp_path):
+    """With unique keys the rows go through a projection; only hashes are counted and sorted."""
     path = str(tmp_path / "rows")
     spark.range(100).withColumn("text", F.lit("x")).write.parquet(path)
-    text = plan(splits.split_80_10_10(spark.read.parquet(path), 1, ["id"]), "simple")
-    assert "SortMergeJoin" not in text
-    assert text.count("BroadcastHashJoin") == 2
+    parts = splits.split_80_10_10(spark.read.parquet(path), 1, ["id"])
+    assert len(parts.collect()) == 100
+    final = plan(parts, "simple").split("Initial Plan")[0]
+    main = final.split("Subquer")[0]
+    assert "Exchange" not in main and "Window" not in main and "Join" not in main
 
 
 def test_group_sizes_are_counted_before_the_shuffle(spark, tmp_path):
