@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import urls
+from causeway.llm import counts, encode, urls
+from causeway.llm.pieces import Vocabulary
 from causeway.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,21 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         urls.canonical(urls.host_of(F.col("url")), urls.path_of(F.col("url"))).alias("canonical")
     )
     return urls.judge_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+# Where the public vocabulary file stands; a parameter of the operators.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
+    """Ids of every whole text, their number, and whether decoding gives the text back."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode.encode_texts(documents, Vocabulary.read(path)).drop("text")
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
+    """Number of tokens of every whole text."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return counts.count_tokens(documents, Vocabulary.read(path)).drop("text")
