@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import counts, encode, urls
+from causeway.llm import counts, decontaminate, encode, urls
 from causeway.llm.pieces import Vocabulary
 from causeway.llm.tables import table
 
@@ -90,3 +90,52 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -
     """Number of tokens of every whole text."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return counts.count_tokens(documents, Vocabulary.read(path)).drop("text")
+
+
+OP5_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item_words WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM doc_words
+), hits AS (
+  SELECT p.doc_id, p.i, s.size, x.item_id
+  FROM places p CROSS JOIN (SELECT DISTINCT size FROM windows) s
+  JOIN windows x ON x.size = s.size AND x.phrase = array_to_string(p.w[p.i:p.i + s.size - 1], ' ')
+  WHERE p.i + s.size - 1 <= len(p.w)
+), covered AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM hits) GROUP BY 1
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS id FROM hits) GROUP BY 1
+)
+SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
+  sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
+
+@query("op5_decontamination", OP5_SQL)
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every whole document: hit words and the items they belong to."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(documents, table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate(
+        F.arrays_zip("hit_starts", "hit_ends"),
+        F.lit(0).cast("long"),
+        lambda total, r: total + r["hit_ends"] - r["hit_starts"],
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
