@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import counts, decontaminate, encode, urls
+from causeway.llm import counts, decontaminate, encode, licenses, urls
 from causeway.llm.pieces import Vocabulary
 from causeway.llm.tables import table
 
@@ -139,3 +139,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every whole document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(documents).drop("text")
