@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import counts, decontaminate, encode, licenses, urls
+from causeway.llm import counts, decontaminate, encode, licenses, quality, urls
 from causeway.llm.pieces import Vocabulary
 from causeway.llm.tables import table
 
@@ -146,3 +146,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every whole document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(documents).drop("text")
+
+
+@query("op3_importance_resampling")
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log weight, draw and decision of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(documents, table(spark, sf_dir, "labels"))[1]
