@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import counts, decontaminate, encode, licenses, quality, urls
+from causeway.llm import counts, decontaminate, encode, langid, licenses, quality, urls
 from causeway.llm.pieces import Vocabulary
 from causeway.llm.tables import table
 
@@ -153,3 +153,12 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log weight, draw and decision of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.resample(documents, table(spark, sf_dir, "labels"))[1]
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document by a network that has not seen the held-out ones."""
+    documents = table(spark, sf_dir, "documents")
+    network = langid.train(*langid.training_windows(documents.select("doc_id", "text", "lang")))
+    predicted = langid.predict_languages(documents.select("doc_id", "text"), network)
+    return predicted.select("doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
