@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import counts, decontaminate, encode, langid, licenses, quality, urls
+from causeway.llm import counts, decontaminate, encode, langid, licenses, nearest, quality, urls
 from causeway.llm.pieces import Vocabulary
 from causeway.llm.tables import table
 
@@ -162,3 +162,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = langid.train(*langid.training_windows(documents.select("doc_id", "text", "lang")))
     predicted = langid.predict_languages(documents.select("doc_id", "text"), network)
     return predicted.select("doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_nearest_neighbours")
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(rows.where(F.col("vec_id") % 20 == 0), rows)
