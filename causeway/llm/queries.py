@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import counts, decontaminate, encode, langid, licenses, nearest, quality, urls
+from causeway.llm import counts, decontaminate, encode, jaccard, langid, licenses, nearest, quality, urls
 from causeway.llm.pieces import Vocabulary
 from causeway.llm.tables import table
 
@@ -169,3 +169,32 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every row whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest.nearest(rows.where(F.col("vec_id") % 20 == 0), rows)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 0) + 2)) AS i FROM split WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common c JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c.n >= 90 * (a.n + b.n - c.n)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM split
+  UNION SELECT r.doc_id, l.y FROM reach r JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) l ON l.x = r.other
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.other) AS component_id
+FROM split d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.doc_id = d.doc_id GROUP BY ALL
+"""
+
+
+@query("op10_jaccard_components", OP10_SQL)
+def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 3-word shingles, similarity 0.9."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.with_components(documents, width=3, percent=90)
