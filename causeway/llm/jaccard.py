@@ -189,7 +189,7 @@ def similar_links(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> l
     return found
 
 
-def _bloom(nodes: DataFrame) -> np.ndarray:
+def bloom(nodes: DataFrame) -> np.ndarray:
     """A bitmap of fixed size; each node, which is a hash, sets the two bits that it names."""
     bits = [F.shiftrightunsigned("node", n).bitwiseAND(F.lit(64 * BLOOM_WORDS - 1).cast("long")) for n in BLOOM_SHIFTS]
     places = nodes.select(F.explode(F.array(*bits)).alias("bit"))
@@ -200,7 +200,7 @@ def _bloom(nodes: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint64)
 
 
-def _may_hold(bitmap: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+def may_hold(bitmap: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     found = np.ones(len(nodes), bool)
     for shift in BLOOM_SHIFTS:
         bit = (nodes.view(np.uint64) >> np.uint64(shift)) & np.uint64(64 * BLOOM_WORDS - 1)
@@ -256,14 +256,14 @@ def with_components(
     shared = texts.select("text").mapInArrow(keys, "key long, node long")
     shared = shared.withColumn("low", F.min("node").over(Window.partitionBy("key"))).where("node <> low")
     families = written(components(written(shared.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())))
-    bitmap = _bloom(families.select("node"))
+    bitmap = bloom(families.select("node"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, sets in sets_of(batch, 0):
                 node = _prints(sets)
                 _, once = np.unique(node, return_index=True)
-                chosen = [i for i in once[_may_hold(bitmap, node[once])] if len(sets[i])]
+                chosen = [i for i in once[may_hold(bitmap, node[once])] if len(sets[i])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[chosen]), list_array([sets[i].view(np.int64) for i in chosen], pa.int64())], names=["node", "tokens"]
                 )

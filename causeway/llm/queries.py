@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import counts, decontaminate, encode, jaccard, langid, licenses, nearest, quality, urls
+from causeway.llm import counts, decontaminate, encode, jaccard, langid, licenses, lines, nearest, quality, urls
 from causeway.llm.pieces import Vocabulary
 from causeway.llm.tables import table
 
@@ -198,3 +198,22 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity 0.9."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.with_components(documents, width=3, percent=90)
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of lines and of repeated lines of every document, and which lines go."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = lines.repeated_lines(documents).withColumnRenamed("id", "other_id")
+    rows = documents.select(
+        "doc_id",
+        lines.row_key(F.col("doc_id"), F.col("text")).alias("row"),
+        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
+    )
+    joined = rows.join(gone, (rows["row"] == gone["row"]) & rows["doc_id"].eqNullSafe(gone["other_id"]), "left")
+    return joined.select(
+        "doc_id",
+        "n_lines",
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("lines", F.array().cast("array<int>")).alias("removed"),
+    )

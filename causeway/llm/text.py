@@ -47,6 +47,9 @@ _LETTERS = [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]
 _BLANKS = [9, 10, 11, 12, 13, 32]
 #: Lower-cased runs of ASCII letters, digits and anything beyond ASCII.
 ALNUM = _alphabet({1: _LETTERS}, lower=True)
+#: The same with every digit a 0.
+PLAIN = _alphabet({1: _LETTERS}, lower=True)
+PLAIN.fold[48:58] = 48
 #: Lower-cased runs of anything but ASCII white space.
 SOLID = _alphabet({1: [b for b in range(256) if b not in _BLANKS]}, lower=True)
 #: Words as written, and runs of punctuation as tokens of their own.
