@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from causeway.llm.components import Forest, components, family_components
-from causeway.llm.tables import written
+from causeway.llm.tables import row_key, written
 from causeway.llm.text import SOLID, Alphabet, distinct_sets, grouped, list_array, mix, tokens_of
 
 WORDS = 64  # 64-bit words of a bitmap
@@ -226,7 +226,40 @@ def with_components(
     always hang together. Null ids stay null and count for no component. Empty tables give
     no rows. Sets are told apart by 64-bit fingerprints.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = classes(docs, id_col, text_col, width, percent, alphabet)
+    parts = rows.where("n_shingles > 0").groupBy("part").agg(F.min("id").alias("least"))
+    return rows.join(parts, "part", "left").select(
+        F.col("id").alias(id_col),
+        "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def repeated_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    alphabet: Alphabet = SOLID,
+) -> DataFrame:
+    """``row``: the `row_key` of every document that goes when one of each component stays.
+
+    The smallest id stays, of equal ids the smallest key; a null id only where there is no
+    other. Rows that repeat an id and its text are one document and stay or go together. A
+    text without shingles stays. Other cases as in `with_components`.
+    """
+    rows = classes(docs, id_col, text_col, width, percent, alphabet).where("n_shingles > 0")
+    rows = rows.select("part", F.struct(F.col("id").isNull(), "id", "row").alias("place"))
+    firsts = rows.groupBy("part").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last")
+    return rows.join(firsts, "part").where("place <> first").select("place.row").distinct()
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, alphabet: Alphabet) -> DataFrame:
+    """``id, row, n_shingles, part`` of every row; ``part`` names its component."""
+    texts = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row")
+    )
 
     def sets_of(batch: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         whole = batch.column(place).to_pylist()
@@ -237,8 +270,13 @@ def with_components(
         for batch in batches:
             for first, last, sets in sets_of(batch, 1):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(_prints(sets))],
-                    names=["id", "n_shingles", "node"],
+                    [
+                        batch.column(0).slice(first, last - first),
+                        batch.column(2).slice(first, last - first),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(_prints(sets)),
+                    ],
+                    names=["id", "row", "n_shingles", "node"],
                 )
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +286,8 @@ def with_components(
                 key, node = _keys(sets, _prints(sets), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
 
-    long_id = StructField("id", docs.schema[id_col].dataType)
-    schema = StructType([long_id, StructField("n_shingles", LongType()), StructField("node", LongType())])
+    id_field = StructField("id", docs.schema[id_col].dataType)
+    schema = StructType([id_field, *[StructField(n, LongType()) for n in ("row", "n_shingles", "node")]])
     documents = written(texts.mapInArrow(sizes, schema))
 
     # a key occurs once in a group of texts, so not even a key that all share is a hot one
@@ -278,11 +316,4 @@ def with_components(
         return similar_links([np.sort(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], labels, percent)
 
     linked = family_components(candidates, linker)
-    rows = documents.join(linked, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    parts = rows.where("n_shingles > 0").groupBy("part").agg(F.min("id").alias("least"))
-    return rows.join(parts, "part", "left").select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"),
-    )
-
+    return documents.join(linked, "node", "left").withColumn("part", F.coalesce("root", "node"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -22,7 +22,7 @@ WINDOW = 128  # bytes
 WIDTHS = (2, 3, 4)
 FILTERS = 24  # of each width
 EMBEDDED = 8
-SAMPLE = 12_000  # windows to learn from, at most, dealt evenly to the languages
+SAMPLE = 12_000  # windows to learn from, about, dealt evenly to the languages
 STEPS = 900
 BATCH = 64
 BLANK = 256  # the byte number that fills a window up
@@ -156,26 +156,22 @@ def is_held_out(doc_id: Column) -> Column:
 def training_windows(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
     """Windows of labelled documents that are not held out, and their languages.
 
-    Each language gives the same number of documents, those with the smallest hashes, and
-    each of these one window from anywhere in its text: at most ``sample`` in all.
+    Of each language a share of documents by their hash is taken, about the same number of
+    each, and of each of these one window from anywhere in its text: about ``sample`` in all.
     """
     usable = docs.where(
         F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    languages = usable.select("lang").distinct().count()
-    if not languages:
+    number = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not number:
         return [], []
+    share = max(1, sample // len(number))
+    taken = F.lit(False)
+    for language, n in number.items():
+        taken |= (F.col("lang") == language) & (F.pmod(F.xxhash64("doc_id"), F.lit(n)) < min(n, share))
     place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "part"))
-    rows = (
-        usable.select(
-            "lang", "doc_id", F.xxhash64("doc_id").alias("order"), F.substring("text", place.cast("int") + 1, F.lit(WINDOW)).alias("part")
-        )
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= max(1, sample // languages))
-        .orderBy("lang", "rank")
-        .collect()
-    )
+    part = F.substring("text", place.cast("int") + 1, F.lit(WINDOW)).alias("part")
+    rows = sorted(usable.where(taken).select("lang", part, F.xxhash64("doc_id").alias("order")).collect(), key=tuple)
     return [r["part"] for r in rows], [r["lang"] for r in rows]
 
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -31,7 +31,7 @@ from causeway.llm.text import MARKED, Tokens, grouped, mix, tokens_of
 BUCKETS = 1 << 17
 SLICE = 1 << 12  # buckets whose counts travel as one row
 KINDS = ("target", "low", "toxic")
-SAMPLE = 20_000  # labelled documents of each kind that the models are fitted on, at most
+SAMPLE = 20_000  # labelled documents of each kind that the models are fitted on, about
 PRIOR = 5.0  # documents, or occurrences, as in all text that every bucket of a kind starts with
 STYLE_SURE = 3.0  # standard deviations by which a bucket must differ to count for the style
 WORDING_SURE = 4.5  # the same for the wording
@@ -148,7 +148,8 @@ class Model:
 
 
 def labelled_kinds(labels: DataFrame, sample: int) -> tuple[DataFrame, np.ndarray]:
-    """A bounded sample of labelled ids with their kinds, and how many labelled ids a kind has.
+    """A sample of labelled ids with their kinds, about ``sample`` of each kind at most, and how
+    many labelled ids a kind has.
 
     An id with several labels counts as toxic if one of them says so, else as low if one
     says so. Labels without an id or a quality count for nothing, except toxic ones.
@@ -164,8 +165,11 @@ def labelled_kinds(labels: DataFrame, sample: int) -> tuple[DataFrame, np.ndarra
         .where("kind IS NOT NULL")
     )
     number = {r["kind"]: r["n"] for r in kinds.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    ranked = kinds.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    return ranked.where(F.col("place") <= sample).drop("place"), np.array([number.get(k, 0) for k in range(len(KINDS))])
+    # of a larger kind those whose hash is in the share of all hashes that gives ``sample``
+    taken = F.lit(False)
+    for kind, n in number.items():
+        taken |= (F.col("kind") == kind) & (F.pmod(F.xxhash64("doc_id"), F.lit(n)) < min(n, sample))
+    return kinds.where(taken), np.array([number.get(k, 0) for k in range(len(KINDS))])
 
 
 def _without_copies(sampled: DataFrame) -> DataFrame:
@@ -192,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     """
     kinds, documents = labelled_kinds(labels, sample)
     texts = docs.select("doc_id", "text")
-    # At most ``sample`` ids of each kind are broadcast, here and below.
+    # About ``sample`` ids of each kind, at most, are broadcast, here and below.
     kinds = _without_copies(texts.join(F.broadcast(kinds), "doc_id"))
     marked = texts.join(F.broadcast(kinds), "doc_id", "left").select("text", "kind")
 
@@ -311,8 +315,8 @@ def resample(
 
     Added are ``log_weight``, ``draw`` and ``drawn``: whether the row is among the ``k``
     largest draws; they replace columns of the same names. By default ``k`` is the number of
-    rows that are not rejected, so these are drawn and no others. The models are fitted on all documents and on at most
-    ``sample`` labelled ones of each kind.
+    rows that are not rejected, so these are drawn and no others. The models are fitted on all documents and on about
+    ``sample`` labelled ones of each kind, or all if there are fewer.
 
     A null or empty text has no n-grams and weight 1. Repeated rows have equal draws: all
     rows whose draw equals the k-th largest are drawn. Without target labels every weight

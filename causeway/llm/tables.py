@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +41,8 @@ def written(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A number for a document; rows that repeat an id and its text share it."""
+    return F.xxhash64(doc_id, text)
