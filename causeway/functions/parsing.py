@@ -16,9 +16,9 @@ CAUSE_LINE, EFFECT_LINE = "Causes:", "Effects:"
 
 
 def parse_class(output: Column) -> Column:
-    """First class number ``N<digits>`` of a response, or ``-1``."""
+    """First class number ``N<digits>`` of a response, or ``-1``, also where there is no response."""
     found = F.regexp_extract(output, CLASS_PATTERN, 1)
-    return F.when(found == "", NO_CLASS).otherwise(found)
+    return F.when(found == "", NO_CLASS).otherwise(F.coalesce(found, F.lit(NO_CLASS)))
 
 
 def unwrap(text: Column) -> Column:

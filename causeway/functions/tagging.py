@@ -245,6 +245,13 @@ def pad_to(ids: Column, length: Column, pad: int) -> Column:
     return F.concat(kept, F.array_repeat(F.lit(pad), F.greatest(length - F.size(ids), F.lit(0))))
 
 
+def cut_body(ids: Column, length: Column, ends: int = 1) -> Column:
+    """An array cut to ``length`` in front of its last ``ends`` elements, the special tokens there."""
+    return F.when(F.size(ids) <= length, ids).otherwise(
+        F.concat(F.slice(ids, F.lit(1), F.greatest(length - ends, F.lit(0))), F.slice(ids, F.lit(-ends), F.lit(ends)))
+    )
+
+
 def attention_mask(ids: Column, length: Column) -> Column:
     """1 for each real id, 0 for padding."""
     kept = F.least(F.size(ids), length)

@@ -37,23 +37,43 @@ def chain_pairs(instances: DataFrame, prefix: str = "reco") -> DataFrame:
     )
 
 
+def _with_dense_place(elements: DataFrame, key: str, pos: str, block: int) -> DataFrame:
+    """``_pos``: the element's place in its chain, 0, 1, 2, ... whatever gaps ``pos`` has.
+
+    Elements are counted per stretch of ``block`` positions and ranked inside
+    their stretch only. An element without a position comes first.
+    """
+    placed = elements.withColumn("_stretch", F.coalesce(F.floor(F.col(pos) / block), F.lit(-1)))
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(F.col(key).alias("_key"), F.col("_stretch").alias("_of"))
+        .agg(F.count("*").alias("_n"))
+        .select("_key", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = Window.partitionBy(key, "_stretch").orderBy(pos)
+    ranked = placed.withColumn("_rank", F.row_number().over(inside) - 1)
+    joined = ranked.join(starts, ranked[key].eqNullSafe(starts["_key"]) & (ranked["_stretch"] == starts["_of"]))
+    return joined.withColumn("_pos", F.col("_start") + F.col("_rank")).select(*elements.columns, "_pos")
+
+
 def chain_pairs_from_elements(
     elements: DataFrame, key: str, pos: str, prefix: str = "reco", block: int = BLOCK
 ) -> DataFrame:
     """The same windows from one row per chain element.
 
-    ``pos`` is the element's index in its chain (0, 1, 2, ... without gaps).
-    Chains are cut into blocks of ``block`` elements, and the first two elements
-    of a block go to the block before as well, so every window is whole inside
-    one block. A chain of any length is spread over tasks, each element is
-    shuffled once, and a window function never sees more than a block.
+    ``pos`` orders the elements of a chain; it may have gaps. Chains are cut into
+    blocks of ``block`` elements, and the first two elements of a block go to the
+    block before as well, so every window is whole inside one block. A chain of
+    any length is spread over tasks, and a window function never sees more than
+    a block.
     """
-    number = F.floor(F.col(pos) / block)
-    spills = (F.col(pos) % block < 2) & (number > 0)
+    dense = _with_dense_place(elements, key, pos, block)
+    number = F.floor(F.col("_pos") / block)
+    spills = (F.col("_pos") % block < 2) & (number > 0)
     blocks = F.when(spills, F.array(number, number - 1)).otherwise(F.array(number))
-    placed = elements.select(
+    placed = dense.select(
         key,
-        F.col(pos).alias("_pos"),
+        "_pos",
         F.replace("event", F.lit("_"), F.lit(" ")).alias("_event"),
         "short_context",
         "label",

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +11,13 @@ from ..functions.markup import numbered_span
 from .skew import with_group_size
 
 GROUP_KEY = ["corpus", "doc_id", "sent_id"]
-# Groups up to this size are folded from an array; longer ones are streamed.
-ARRAY_LIMIT = 1_000
 
 
 def filter_num_causal(df: DataFrame, mode: str, keys: list[str] = GROUP_KEY) -> DataFrame:
     """``single``: sentences with one relation; ``multi``: with several, as they are."""
-    if mode == "multi":
-        sized = with_group_size(df, keys, "_relations")
-        return sized.where(F.col("_relations") > 1).drop("_relations")
-    # A lone row is its group's any value, so no join is needed, and a hot key
-    # is down to one row per task before the shuffle.
-    rest = F.struct(*[c for c in df.columns if c not in keys])
-    lone = df.groupBy(*keys).agg(F.count("*").alias("_relations"), F.any_value(rest).alias("_row"))
-    return lone.where("_relations = 1").select(*keys, "_row.*").select(*df.columns)
+    sized = with_group_size(df, keys, "_relations")
+    chosen = F.col("_relations") == 1 if mode == "single" else F.col("_relations") > 1
+    return sized.where(chosen).drop("_relations")
 
 
 def _wrap(text: Column, span: Column, letter: str, number: Column) -> Column:
@@ -37,53 +28,20 @@ def _wrap(text: Column, span: Column, letter: str, number: Column) -> Column:
     return F.when(text.contains(span), F.when(span == "", everywhere).otherwise(F.replace(text, span, tagged)))
 
 
-def _fold_stream(key_count: int):
-    """Fold sorted relations batch by batch, keeping one open group in hand."""
-
-    def wrap(text, span, letter, n):
-        if text is None or span is None or span not in text:
-            return None
-        return text.replace(span, f"<{letter}{n}>{span}</{letter}{n}>")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, row, n = None, None, 0
-        for batch in batches:
-            done = []
-            columns = list(batch.columns[:-2])
-            at = columns.index("tagged_text")
-            for *values, cause, effect in batch.itertuples(index=False, name=None):
-                if tuple(values[:key_count]) != key:
-                    if row is not None and row[at] is not None:
-                        done.append(row)
-                    key, row, n = tuple(values[:key_count]), values, 0
-                    row[at] = row[columns.index("text")]
-                n += 1
-                row[at] = wrap(wrap(row[at], cause, "c", n), effect, "e", n)
-            yield pd.DataFrame(done, columns=columns)
-        if row is not None and row[at] is not None:
-            yield pd.DataFrame([row], columns=columns)
-
-    return fold
-
-
 def merge_causal_groups(
-    df: DataFrame,
-    keys: list[str] = GROUP_KEY,
-    order: str = "example_id",
-    array_limit: int = ARRAY_LIMIT,
+    df: DataFrame, keys: list[str] = GROUP_KEY, order: str = "example_id", least: int = 1
 ) -> DataFrame:
     """One row per sentence, its relations numbered in ``tagged_text``.
 
     Relations are applied in ``order`` to the plain text, each tagging all
     occurrences of its cause and then of its effect, also inside earlier tags.
-    A sentence where a span does not occur is dropped, as are NULL keys. Other
-    columns come from the first relation.
-
-    The fold is ordered and its result is one cell, so a sentence stays in one
-    task. Up to ``array_limit`` relations are folded from an array; a sentence
-    with more is streamed through its task in order instead. Sizes are counted
-    map-side first, and where no sentence is that long, adaptive execution drops
-    the second way.
+    A sentence where a span does not occur is dropped, as are NULL keys and
+    sentences with fewer than ``least`` relations; `malformed_relations` tells
+    which rows have no markup at all. Other columns come from the first relation.
+
+    One aggregation counts and collects. The fold is ordered and its result is
+    one cell, so the relations of one sentence are one array in one task; rows
+    without markup in common travel as spans, not as tagged texts.
     """
     named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     relations = df.where(named).withColumns(
@@ -92,8 +50,6 @@ def merge_causal_groups(
             "_effect": numbered_span(F.col("tagged_text"), "e", F.lit("")),
         }
     )
-    sizes = relations.groupBy(*keys).agg(F.count("*").alias("_size"))
-    long_keys = sizes.where(F.col("_size") > array_limit).select(*keys)
     others = [c for c in df.columns if c not in keys and c != "tagged_text"]
     # Rows that agree on the order column are told apart by their markup.
     rank = F.struct(order, "tagged_text")
@@ -102,9 +58,8 @@ def merge_causal_groups(
         F.col("_first.text"),
         lambda text, r: _wrap(_wrap(text, r["cause"], "c", r["n"]), r["effect"], "e", r["n"]),
     )
-    short = (
-        relations.join(long_keys, keys, "left_anti")
-        .groupBy(*keys)
+    merged = (
+        relations.groupBy(*keys)
         .agg(
             F.array_sort(
                 F.collect_list(
@@ -118,24 +73,20 @@ def merge_causal_groups(
             ).alias("_sorted"),
             F.min_by(F.struct(*others), rank).alias("_first"),
         )
+        .where(F.size("_sorted") >= least)
         .withColumn(
             "_list",
-            F.transform(
-                "_sorted", lambda r, i: F.struct((i + 1).alias("n"), r["cause"], r["effect"])
-            ),
+            F.transform("_sorted", lambda r, i: F.struct((i + 1).alias("n"), r["cause"], r["effect"])),
         )
         .select(*keys, "_first.*", fold.alias("tagged_text"))
-        .where("tagged_text IS NOT NULL")
-    )
-    columns = [*keys, *others, "tagged_text"]
-    streamed = (
-        relations.join(long_keys, keys, "left_semi")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, order, "tagged_text")
-        .select(*columns, "_cause", "_effect")
     )
-    long = streamed.mapInPandas(_fold_stream(len(keys)), streamed.select(*columns).schema)
-    return short.unionByName(long).select(*df.columns)
+    return merged.where("tagged_text IS NOT NULL").select(*df.columns)
+
+
+def malformed_relations(df: DataFrame) -> DataFrame:
+    """Rows whose ``tagged_text`` lacks a cause or an effect; merging drops their sentences."""
+    cause, effect = (numbered_span(F.col("tagged_text"), letter, F.lit("")) for letter in "ce")
+    return df.where(cause.isNull() | effect.isNull())
 
 
 def causal_groups(df: DataFrame, mode: str, keys: list[str] = GROUP_KEY) -> DataFrame:
@@ -146,6 +97,4 @@ def causal_groups(df: DataFrame, mode: str, keys: list[str] = GROUP_KEY) -> Data
     """
     if mode == "single":
         return filter_num_causal(df, "single", keys)
-    if mode == "multi":
-        return merge_causal_groups(filter_num_causal(df, "multi", keys), keys)
-    return merge_causal_groups(df, keys)
+    return merge_causal_groups(df, keys, least=2 if mode == "multi" else 1)

@@ -6,19 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
 
 # A key is hot when it holds more than this many rows and this share of all rows.
 # The share bounds the number of hot keys by its inverse, so they can be broadcast.
 HOT_ROWS = 100_000
 HOT_SHARE = 1e-4
-SLICES = 64
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys]
-    )
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def with_group_size(
@@ -27,29 +23,18 @@ def with_group_size(
     name: str,
     hot_rows: int = HOT_ROWS,
     hot_share: float = HOT_SHARE,
-    slices: int = SLICES,
 ) -> DataFrame:
     """Add the number of rows that share the keys; NULL keys equal each other.
 
-    Sizes come from a pre-aggregated count and are joined back. Rows of hot keys
-    are spread over ``slices`` by a hash of their plain columns, and only the
-    hot sizes are repeated that often.
+    Sizes come from a pre-aggregated count. Rows of hot keys take theirs from a
+    broadcast table and are never shuffled; all other rows are joined with the
+    sizes of their keys.
     """
-    renamed = [F.col(k).alias(f"_{k}") for k in keys]
-    sizes = df.groupBy(*renamed).agg(F.count("*").alias(name))
-    rows = sizes.agg(F.sum(name).alias("n")).scalar()
-    limit = F.greatest(F.lit(hot_rows).cast("double"), rows * F.lit(hot_share))
-    sizes = sizes.withColumn("_hot", F.col(name) > limit)
-    hot = F.broadcast(sizes.where("_hot").drop(name))
-    marked = df.join(hot, _same(df, hot, keys), "left").select(df["*"], hot["_hot"])
-    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
-    spread = F.pmod(F.xxhash64(*plain), F.lit(slices)).cast("int")
-    marked = marked.withColumn("_slice", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    sizes = sizes.select("*", F.explode(every).alias("_part")).drop("_hot")
-    joined = marked.join(
-        sizes, _same(marked, sizes, keys) & (marked["_slice"] == sizes["_part"])
-    )
-    return joined.select(*df.columns, name)
+    sizes = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_size"))
+    rows = sizes.agg(F.sum("_size").alias("n")).scalar()
+    is_hot = F.col("_size") > F.greatest(F.lit(hot_rows).cast("double"), rows * F.lit(hot_share))
+    same = _all([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    hot = F.broadcast(sizes.where(is_hot))
+    columns = [*df.columns, F.col("_size").alias(name)]
+    rest = df.join(hot, same, "left_anti").join(sizes.where(~is_hot), same)
+    return rest.select(*columns).unionByName(df.join(hot, same).select(*columns))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.prompts import check_template
-from ..functions.tagging import IGNORED_LABEL, align_labels, argmax_class, concat_with_sep
+from ..functions.tagging import IGNORED_LABEL, align_labels, argmax_class, concat_with_sep, cut_body
 from ..operators import filters, prompting, report, spans, splits
 from ..sources import corpora, sinks
 from ..sources.rules import CHAIN, SEQUENCE, SPAN, check_pair, resolve_filters
@@ -139,6 +139,7 @@ def evaluate_prompts(
         "dataset": corpus,
         "filters": sinks.filter_tag(**options) + ("_by_word" if by_word else ""),
         "model": model,
+        "run": f"{template_name or 'template'}_{shot}_{seed}" + (f"_{test_samples}" if test_samples is not None else ""),
     }
     prompts = build_prompts(rows, task, template, shot, seed, by_word)
     outputs = os.path.join(output_dir, "outputs", *run.values())
@@ -161,29 +162,42 @@ def evaluate_prompts(
 Encoder = Callable[[Column], Column]
 
 
-def sequence_inputs(rows: DataFrame, encode: Encoder, limit: int, pad: int = 0) -> DataFrame:
+def _cut(rows: DataFrame, column: str, length: DataFrame, ends: int) -> DataFrame:
+    """Cut longer arrays in front of the special tokens at their end."""
+    room = rows.withColumn("_room", length.scalar())
+    return room.withColumn(column, cut_body(F.col(column), F.col("_room"), ends)).drop("_room")
+
+
+def sequence_inputs(rows: DataFrame, encode: Encoder, limit: int, pad: int = 0, ends: int = 1) -> DataFrame:
     """Padded ids and mask of each text, as long as the longest train text allows.
 
-    ``encode`` maps a text column to an id array, special tokens included.
+    ``encode`` maps a text column to an id array, special tokens included; the
+    last ``ends`` of these stay at the end of a text that is cut.
     """
     encoded = rows.withColumn("input_ids", encode(F.col("text")))
-    train = encoded.where("split = 'train'")
-    return spans.pad_inputs(encoded, "input_ids", spans.max_length(train, "input_ids", 0, limit), pad)
+    length = spans.max_length(encoded.where("split = 'train'"), "input_ids", 0, limit)
+    return spans.pad_inputs(_cut(encoded, "input_ids", length, ends), "input_ids", length, pad)
 
 
 def span_inputs(
-    rows: DataFrame, encode: Encoder, limit: int, pad: int = 0
+    rows: DataFrame, encode: Encoder, limit: int, pad: int = 0, ends: int = 1
 ) -> DataFrame:
     """Padded ids, mask and label ids of tokenised sentences.
 
     ``encode`` maps a token array to an array of structs ``id, word``, the word
-    being NULL for special tokens.
+    being NULL for special tokens, the last ``ends`` of which stay where a
+    sentence is cut. Train rows with other tags than the known ones are an error.
     """
-    encoded = rows.withColumn("_pieces", encode(F.col("tokens"))).withColumn(
-        "input_ids", F.col("_pieces.id")
+    checked = rows.withColumn(
+        "tags",
+        F.when((F.col("split") != "train") | filters.valid_tags(F.col("tags")), F.col("tags")).otherwise(
+            F.raise_error(F.concat(F.lit("unknown tags: "), F.array_join("tags", " ")))
+        ),
     )
-    train = encoded.where("split = 'train'")
+    pieces = checked.withColumn("_pieces", encode(F.col("tokens")))
+    train = pieces.where("split = 'train'").select(F.col("_pieces.id").alias("input_ids"))
     length = spans.max_length(train, "input_ids", 0, limit)
+    encoded = _cut(pieces, "_pieces", length, ends).withColumn("input_ids", F.col("_pieces.id"))
     padded = spans.pad_inputs(encoded, "input_ids", length, pad)
     labels = align_labels(F.col("_pieces.word"), F.col("tags"))
     kept = F.slice(labels, F.lit(1), F.size("input_ids"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import TEMPLATES
 from ..operators import prompting, report
-from ..sources import corpora, readers, rules, sinks
+from ..sources import corpora, readers, rules, scratch, sinks
 from . import views
 from .corpus_queries import MERGED_SQL, SEED, documents
 from .registry import query
@@ -36,7 +36,7 @@ def _write_pairs(df: DataFrame, path: str) -> None:
     f"{_ANN} SELECT corpus, doc_id, sent_id, eg_id, text, text_w_pairs, seq_label, pair_label, num_sents FROM ann",
 )
 def scan_pairs_csv(spark, sf):
-    path = views.scratch_folder(spark)
+    path = scratch.shared_folder(spark)
     _write_pairs(views.pairs(spark, sf), path)
     return readers.read_pairs_csv(spark, path)
 
@@ -62,7 +62,7 @@ def _write_fincausal(spark, sf, folder: str) -> None:
 
 @query("scan_delimited", f"{_FIN} SELECT example_id, text, labels::VARCHAR AS labels FROM fin")
 def scan_delimited(spark, sf):
-    folder = views.scratch_folder(spark)
+    folder = scratch.shared_folder(spark)
     _write_fincausal(spark, sf, folder)
     paths = {
         f"fincausal{part}": os.path.join(folder, corpora.FINCAUSAL_FILE.format(part=part, task=1))
@@ -79,7 +79,7 @@ def scan_delimited(spark, sf):
     "SELECT n_chars % 2 AS labels, 'kessan_' || doc_id AS example_id, replace(text, chr(10), ' ') AS text FROM documents",
 )
 def scan_tsv(spark, sf):
-    path = views.scratch_folder(spark)
+    path = scratch.shared_folder(spark)
     rows = documents(spark, sf).select(
         (F.col("n_chars") % 2).alias("gold"),
         F.col("doc_id").alias("id"),
@@ -99,7 +99,7 @@ _CLUES = f"WITH {views.CLUE_SENTENCES_SQL}"
       tagged_sentence FROM clues""",
 )
 def scan_jsonl(spark, sf):
-    path = views.scratch_folder(spark)
+    path = scratch.shared_folder(spark)
     rows = views.clue_sentences(spark, sf).orderBy("src_id", "sent_id")
     rows.select("tagged_sentence").write.json(path)
     return readers.read_jsonl(spark, path, "tagged_sentence string", "kessan_train")
@@ -117,7 +117,7 @@ def _write_instances(df: DataFrame, path: str) -> None:
       array_to_string(parts[:len(parts) - 1], '|') AS short_contexts, label FROM inst""",
 )
 def scan_instances(spark, sf):
-    path = views.scratch_folder(spark)
+    path = scratch.shared_folder(spark)
     _write_instances(views.instances(spark, sf), path)
     rows = readers.read_instances(spark, path, multi_line=False)
     return rows.withColumns(
@@ -146,7 +146,7 @@ _ADAPTIVE = f"""ranked AS (
     FROM every e JOIN tagged t ON t.corpus = e.corpus AND t.doc_id = e.doc_id AND t.sent_id = e.sent_id AND t.eg_id = e.example_id""",
 )
 def load_span_corpus(spark, sf):
-    folder = views.scratch_folder(spark)
+    folder = scratch.shared_folder(spark)
     _write_pairs(views.pairs(spark, sf), os.path.join(folder, corpora.ONE_FILE["pdtb"]))
     rows = corpora.load_corpus(spark, "pdtb", rules.SPAN, folder, seed=SEED)
     return rows.withColumns({c: F.array_join(c, "|") for c in ("tokens", "tags")})
@@ -160,7 +160,7 @@ def load_span_corpus(spark, sf):
     UNION ALL SELECT example_id, text, seq_label, 'test' FROM test""",
 )
 def load_sequence_corpus(spark, sf):
-    folder = views.scratch_folder(spark)
+    folder = scratch.shared_folder(spark)
     rows = views.pairs(spark, sf)
     is_test = F.col("doc_id").rlike("^wsj_(00|01|22|23|24)")
     for part, chosen in (("train", ~is_test), ("test", is_test)):
@@ -180,7 +180,7 @@ def load_sequence_corpus(spark, sf):
       WHEN rank <= n - ceil(ceil(n / 5) / 2) THEN 'valid' ELSE 'test' END AS split FROM ranked""",
 )
 def load_delimited_corpus(spark, sf):
-    folder = views.scratch_folder(spark)
+    folder = scratch.shared_folder(spark)
     _write_fincausal(spark, sf, folder)
     return corpora.load_corpus(spark, "fincausal", rules.SEQUENCE, folder, seed=SEED)
 
@@ -200,7 +200,7 @@ def load_delimited_corpus(spark, sf):
       ORDER BY example_id, text LIMIT 50)""",
 )
 def load_cross_corpus(spark, sf):
-    folder = views.scratch_folder(spark)
+    folder = scratch.shared_folder(spark)
     _write_pairs(views.pairs(spark, sf), os.path.join(folder, corpora.ONE_FILE["because"]))
     _write_fincausal(spark, sf, folder)
     return corpora.load_data(
@@ -227,7 +227,7 @@ def report_sink(spark, sf):
             "filters": F.lit(sinks.filter_tag(num_sent="intra")),
         }
     )
-    path = views.scratch_folder(spark)
+    path = scratch.shared_folder(spark)
     sinks.write_report(rows, path)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return spark.read.schema(schema).json(path).select(*rows.columns)
@@ -244,7 +244,7 @@ def prediction_sink(spark, sf):
         corpora.tag_pairs(corpora.select_pairs(views.pairs(spark, sf), rules.SPAN))
     )
     rows = prompting.word_predictions(rows, TEMPLATES["span_detection_by_word"])
-    path = views.scratch_folder(spark)
+    path = scratch.shared_folder(spark)
     sinks.write_predictions(
         rows.select("doc_id", "sent_id", "example_id", "tokens", "pred", F.lit(rules.SPAN).alias("task")),
         path,

@@ -8,36 +8,30 @@ sentences too short for that are rows without a relation.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A given table; a session on one machine may ask for its rows to be dealt out.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan out over all cores when it has fewer partitions than there are cores.
-
-    A table of many files is left as it is, so nothing is shuffled at scale.
+    The test tables are single files, which one task would read. A cluster's tables
+    have many files, and it does not set ``causeway.tables.partitions``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    parts = spark.conf.get("causeway.tables.partitions", "")
+    return rows.repartition(int(parts)) if parts and name in DEALT else rows
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one the session names, or a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="run-")
-    return os.path.join(shared, uuid.uuid4().hex)
+# Tables from which text is derived; the others are small.
+DEALT = ("documents",)
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-empty sentences: ``src_id, source, sent, s, words``."""
     return (
-        spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+        table(spark, sf_dir, "documents")
         .select(
             F.col("doc_id").alias("src_id"),
             "source",
@@ -362,7 +356,7 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.split("text", "[.\n]+"), lambda s: F.trim(s)), lambda s: s != ""
     )
     return (
-        spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        table(spark, sf_dir, "documents")
         .select(F.col("doc_id").cast("string").alias("index"), "doc_id", parts.alias("parts"))
         .select(
             "index",

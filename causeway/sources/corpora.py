@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.markup import map_tags, strip_clues, untag
+from ..functions.markup import has_crossing, map_tags, strip_clues, untag
 from ..functions.parsing import Tokenizer, blank_tokens
 from ..functions.tagging import aligned_tags, marked_tags, marked_tokens, phrase_tags
 from ..operators import chains, filters, splits
 from ..operators.dedup import keep_first, keep_unique
-from ..operators.groups import causal_groups
+from ..operators.groups import causal_groups, malformed_relations
 from . import readers
+from .scratch import shared_folder
 from .rules import CHAIN, SEQUENCE, SPAN, RejectedOption, check_pair
 
 # File names of the corpora.
@@ -68,15 +69,23 @@ def filter_test(
     return filters.filter_plicit(test, plicit) if task == SPAN else test
 
 
+def _staged(rows: DataFrame) -> DataFrame:
+    """The rows of a text file as columns in the shared folder, so that it is parsed once."""
+    folder = shared_folder(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def _with_split(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("split", F.lit(name))
 
 
 def _pairs(
-    spark, corpus, task, data_dir, num_sent, num_causal, plicit, seed, tokenizer
+    spark, corpus, task, data_dir, num_sent, num_causal, plicit, seed, tokenizer, multi_line
 ) -> DataFrame:
     def read(name: str) -> DataFrame:
-        return select_pairs(readers.read_pairs_csv(spark, os.path.join(data_dir, name)), task)
+        path = os.path.join(data_dir, name)
+        return select_pairs(_staged(readers.read_pairs_csv(spark, path, multi_line)), task)
 
     if corpus in ONE_FILE:
         rows = read(ONE_FILE[corpus])
@@ -104,19 +113,23 @@ def annotate_phrases(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     )
 
 
-def _fincausal(
-    spark, corpus, task, data_dir, num_sent, num_causal, plicit, seed, tokenizer
-) -> DataFrame:
+def _fincausal_paths(task: str, data_dir: str) -> dict[str, str]:
     number = 1 if task == SEQUENCE else 2
-    paths = {
+    return {
         f"fincausal{part}": os.path.join(data_dir, FINCAUSAL_FILE.format(part=part, task=number))
         for part in FINCAUSAL_PARTS
     }
+
+
+def _fincausal(
+    spark, corpus, task, data_dir, num_sent, num_causal, plicit, seed, tokenizer, multi_line
+) -> DataFrame:
     rows = filters.has_text(
-        readers.read_delimited(spark, paths, FINCAUSAL_COLUMNS[task]), "Text"
+        _staged(readers.read_delimited(spark, _fincausal_paths(task, data_dir), FINCAUSAL_COLUMNS[task])), "Text"
     ).withColumnRenamed("Index", "example_id")
     if task == SEQUENCE:
-        rows = keep_first(rows, "Text").withColumn("labels", F.col("Gold").try_cast("bigint"))
+        rows = rows.withColumn("labels", readers.whole_number(F.col("Gold"))).where("labels IS NOT NULL")
+        rows = keep_first(rows, "Text")
     else:
         rows = annotate_phrases(keep_unique(rows, "Text"), tokenizer or blank_tokens)
     rows = rows.withColumnRenamed("Text", "text")
@@ -143,7 +156,7 @@ def _characters(text):
 
 
 def _japanese(
-    spark, corpus, task, data_dir, num_sent, num_causal, plicit, seed, tokenizer
+    spark, corpus, task, data_dir, num_sent, num_causal, plicit, seed, tokenizer, multi_line
 ) -> DataFrame:
     if plicit != "all":
         raise RejectedOption(f"plicit={plicit!r} is not available for {corpus!r}")
@@ -173,10 +186,10 @@ def _japanese(
 
 
 def _chains(
-    spark, corpus, task, data_dir, num_sent, num_causal, plicit, seed, tokenizer
+    spark, corpus, task, data_dir, num_sent, num_causal, plicit, seed, tokenizer, multi_line
 ) -> DataFrame:
     def read(file: str) -> DataFrame:
-        rows = readers.read_instances(spark, os.path.join(data_dir, "reco", f"{file}.json"))
+        rows = readers.read_instances(spark, os.path.join(data_dir, "reco", f"{file}.json"), multi_line)
         valid, _ = filters.quarantine(rows, filters.valid_chain_label(F.col("label")))
         return chains.chain_pairs(valid)
 
@@ -218,14 +231,18 @@ def load_corpus(
     plicit: str = "all",
     seed: int = 42,
     tokenizer: Tokenizer | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """One corpus for one task: its task columns and ``split``.
 
     Filters touch the test part only. ``tokenizer`` is a column function used
-    where a corpus gives plain text instead of marked tokens.
+    where a corpus gives plain text instead of marked tokens. ``multi_line``
+    reads CSV with line breaks in quotes, and JSON documents over several lines,
+    by one task per file; turn it off for large files without them. What a
+    corpus holds but can't be used is in `load_quarantine`.
     """
     check_pair(corpus, task)
-    options = (data_dir, num_sent, num_causal, plicit, seed, tokenizer)
+    options = (data_dir, num_sent, num_causal, plicit, seed, tokenizer, multi_line)
     if corpus == "all":
         parts = [load_corpus(spark, c, task, *options) for c in ALL_CORPORA[task]]
         return union_corpora(parts, task)
@@ -233,6 +250,58 @@ def load_corpus(
     return rows.select(*filters.TASK_COLUMNS[task], "split")
 
 
+def load_quarantine(spark: SparkSession, corpus: str, task: str, data_dir: str, multi_line: bool = True) -> DataFrame:
+    """What `load_corpus` leaves out of a corpus as malformed: ``reason`` and ``record``.
+
+    Reasons are ``number`` (a number that is none), ``fields`` (a line with more or fewer
+    fields), ``label`` (no valid label) and ``spans`` (a relation that lacks its markup).
+    """
+    check_pair(corpus, task)
+
+    def rejected(rows: DataFrame, reason: str) -> DataFrame:
+        return rows.select(F.lit(reason).alias("reason"), F.to_json(F.struct("*")).alias("record"))
+
+    if corpus == "all":
+        return reduce(
+            DataFrame.unionByName,
+            [load_quarantine(spark, c, task, data_dir, multi_line) for c in ALL_CORPORA[task]],
+        )
+    if corpus in ONE_FILE or corpus in TWO_FILES:
+        names = [ONE_FILE[corpus]] if corpus in ONE_FILE else [f"{TWO_FILES[corpus]}_{p}.csv" for p in ("train", "test")]
+        frames = []
+        for name in names:
+            path = os.path.join(data_dir, name)
+            frames.append(readers.pairs_quarantine(spark, path, multi_line))
+            if task == SPAN:
+                pairs = select_pairs(readers.read_pairs_csv(spark, path, multi_line), task)
+                frames.append(rejected(malformed_relations(pairs), "spans"))
+        return reduce(DataFrame.unionByName, frames)
+    if corpus == "fincausal":
+        paths, columns = _fincausal_paths(task, data_dir), FINCAUSAL_COLUMNS[task]
+        torn = readers.delimited_quarantine(spark, paths, columns)
+        if task == SPAN:
+            return torn
+        rows = filters.has_text(readers.read_delimited(spark, paths, columns), "Text")
+        return torn.unionByName(rejected(rows.where(readers.whole_number(F.col("Gold")).isNull()), "label"))
+    if corpus == "reco":
+        frames = []
+        for file in SPLIT_FILES.values():
+            rows = readers.read_instances(spark, os.path.join(data_dir, "reco", f"{file}.json"), multi_line)
+            frames.append(rejected(filters.quarantine(rows, filters.valid_chain_label(F.col("label")))[1], "label"))
+        return reduce(DataFrame.unionByName, frames)
+    if task == SEQUENCE:
+        name, _ = JAPANESE_TSV[corpus]
+        rows = readers.read_tsv(spark, os.path.join(data_dir, name), "labels string, example_id string, text string")
+        return rejected(rows.where(readers.whole_number(F.col("labels")).isNull()), "label")
+    frames = []
+    for file in SPLIT_FILES.values():
+        path = os.path.join(data_dir, "kessan", f"{file}.jsonl")
+        rows = readers.read_jsonl(spark, path, "tagged_sentence string", f"kessan_{file}")
+        broken = has_crossing(strip_clues(F.col("tagged_sentence"))).isNull()
+        frames.append(rejected(rows.where(broken), "spans"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def load_data(
     spark: SparkSession,
     task: str,

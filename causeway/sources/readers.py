@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prompts import REQUIRED_KEYS, check_template
@@ -28,12 +28,14 @@ INSTANCE_SCHEMA = (
 )
 
 
-def read_pairs_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Annotated pairs: quoted CSV with a header; other columns are ignored.
+def whole_number(text: Column) -> Column:
+    """A whole number, also one written as ``1.0``; NULL for anything else."""
+    number = text.try_cast("decimal(38,10)")
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
 
-    ``multi_line`` allows line breaks in quoted text at the price of one task
-    per file; turn it off for large files without them.
-    """
+
+def _pair_cells(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, Column]:
+    """The columns that are read, as text, and whether all numbers of a row are numbers."""
     raw = (
         spark.read.option("header", True)
         .option("quote", '"')
@@ -41,16 +43,40 @@ def read_pairs_csv(spark: SparkSession, path: str, multi_line: bool = True) -> D
         .option("multiLine", multi_line)
         .csv(path)
     )
-    return raw.select(
-        *[F.col(name).try_cast(kind).alias(name) for name, kind in PAIR_COLUMNS.items()]
-    )
+    fits = F.lit(True)
+    for name, kind in PAIR_COLUMNS.items():
+        if kind == "bigint":
+            fits &= F.col(name).isNull() | whole_number(F.col(name)).isNotNull()
+    return raw.select(*PAIR_COLUMNS), fits
+
+
+def read_pairs_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Annotated pairs: quoted CSV with a header; other columns are ignored.
+
+    ``multi_line`` allows line breaks in quoted text at the price of one task
+    per file; turn it off for large files without them. Rows with a number that
+    is none are left to `pairs_quarantine`.
+    """
+    cells, fits = _pair_cells(spark, path, multi_line)
+    typed = [
+        (whole_number(F.col(name)) if kind == "bigint" else F.col(name)).alias(name)
+        for name, kind in PAIR_COLUMNS.items()
+    ]
+    return cells.where(fits).select(*typed)
+
+
+def pairs_quarantine(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Rows of a pair file that `read_pairs_csv` leaves out: ``reason`` and the row as JSON."""
+    cells, fits = _pair_cells(spark, path, multi_line)
+    return cells.where(~fits).select(F.lit("number").alias("reason"), F.to_json(F.struct("*")).alias("record"))
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """Number the rows of a file scan 0, 1, ... in order of file path and position.
 
-    Rows are counted per file block; running totals over the blocks (one row
-    each) give each block its first number, and rows are numbered inside theirs.
+    Rows are counted per file block; running totals over the blocks give each its
+    first number, and a row's place less the first place of its block is its
+    place in there. Only the table of blocks, one row each, is shuffled and sent.
     """
     placed = df.select(
         "*",
@@ -61,13 +87,26 @@ def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     before = Window.orderBy("_file", "_block")
     blocks = (
         placed.groupBy("_file", "_block")
-        .agg(F.count("*").alias("_n"))
-        .select("_file", "_block", (F.sum("_n").over(before) - F.col("_n")).alias("_start"))
+        .agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+        .select("_file", "_block", (F.sum("_n").over(before) - F.col("_n") - F.col("_first")).alias("_shift"))
     )
-    inside = Window.partitionBy("_file", "_block").orderBy("_place")
-    numbered = placed.withColumn("_row", F.row_number().over(inside) - 1)
-    return numbered.join(blocks, ["_file", "_block"]).select(
-        *df.columns, (F.col("_start") + F.col("_row")).alias(name)
+    return placed.join(F.broadcast(blocks), ["_file", "_block"]).select(
+        *df.columns, (F.col("_place") + F.col("_shift")).alias(name)
+    )
+
+
+_CORRUPT = "_corrupt"
+
+
+def _delimited(spark: SparkSession, path: str, columns: list[str], sep: str, header: bool) -> DataFrame:
+    schema = ", ".join(f"`{c}` string" for c in (*columns, _CORRUPT))
+    return (
+        spark.read.schema(schema)
+        .option("columnNameOfCorruptRecord", _CORRUPT)
+        .option("header", header)
+        .option("sep", sep)
+        .option("quote", "")
+        .csv(path)
     )
 
 
@@ -82,31 +121,36 @@ def read_delimited(
 
     ``paths`` maps an id prefix to a file; the first column becomes
     ``<prefix>_<id>`` and ``row_id`` keeps the order of files and rows. Quotes
-    have no meaning in this layout.
+    have no meaning in this layout. Lines with more or fewer fields are left to
+    `delimited_quarantine`.
     """
-    schema = ", ".join(f"`{c}` string" for c in columns)
     frames = []
     for number, (prefix, path) in enumerate(paths.items()):
-        raw = (
-            spark.read.schema(schema)
-            .option("header", header)
-            .option("sep", sep)
-            .option("quote", "")
-            .csv(path)
-        )
-        rows = with_ordinal(raw, "row_id")
+        rows = with_ordinal(_delimited(spark, path, columns, sep, header), "row_id")
         frames.append(
-            rows.withColumns(
+            rows.where(F.col(_CORRUPT).isNull())
+            .drop(_CORRUPT)
+            .withColumns(
                 {
                     columns[0]: F.concat_ws("_", F.lit(prefix), F.col(columns[0])),
                     "row_id": F.col("row_id") + F.lit(number * 10**15),
                 }
             )
         )
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    return reduce(DataFrame.unionByName, frames)
+
+
+def delimited_quarantine(
+    spark: SparkSession, paths: dict[str, str], columns: list[str], sep: str = "; ", header: bool = True
+) -> DataFrame:
+    """Lines that `read_delimited` leaves out: ``reason`` and the line."""
+    frames = [
+        _delimited(spark, path, columns, sep, header)
+        .where(F.col(_CORRUPT).isNotNull())
+        .select(F.lit("fields").alias("reason"), F.col(_CORRUPT).alias("record"), columns[0])
+        for path in paths.values()
+    ]
+    return reduce(DataFrame.unionByName, frames).select("reason", "record")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -160,8 +204,9 @@ def load_template(spark: SparkSession, path: str) -> dict[str, str]:
     return check_template({k: v for k, v in row.asDict().items() if v is not None})
 
 
-def write_template(template: dict[str, str], path: str) -> None:
-    """Save a template as a JSON file."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(template, out, indent=4)
+def write_template(spark: SparkSession, template: dict[str, str], path: str) -> None:
+    """Save a template as a JSON file at a path of any file system that the session knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+    out.write(json.dumps(template, indent=4).encode())
+    out.close()

@@ -12,10 +12,12 @@ os.environ["PYTHONPATH"] = os.pathsep.join([HERE, os.path.dirname(HERE), os.envi
 
 @pytest.fixture(scope="session")
 def spark():
+    from pyspark.sql import SparkSession
+
     from causeway.plans.session import local_session
 
+    # Spark reads this setting when it starts.
+    SparkSession.builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     session = local_session(cores=4, shuffle_partitions=4)
-    if not session.conf.get("spark.checkpoint.dir", ""):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     yield session
     session.stop()

@@ -39,8 +39,7 @@ def sentences(seed, count, biggest):
     return rows
 
 
-@pytest.mark.parametrize("limit", [0, 2, 1000])
-def test_merge_against_brute_force(spark, limit):
+def test_merge_against_brute_force(spark):
     rows = sentences(5, 60, 4)
     want = {}
     for key in {r[:3] for r in rows}:
@@ -49,7 +48,7 @@ def test_merge_against_brute_force(spark, limit):
         if merged is not None:
             want[key] = (merged, group[0][6])
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = groups.merge_causal_groups(frame, array_limit=limit).collect()
+    got = groups.merge_causal_groups(frame).collect()
     assert {tuple(r[:3]): (r.tagged_text, r.extra) for r in got} == want
     assert len(got) == len(want)
 
@@ -65,11 +64,32 @@ def test_group_size(spark, hot_rows, hot_share):
     """The same sizes whether the hot keys are spread or not; NULL keys are equal."""
     rows = [(1, None, i) for i in range(50)] + [(2, "b", i) for i in range(3)] + [(3, "c", 0), (None, None, 9)]
     frame = spark.createDataFrame(rows, "k int, j string, v int")
-    got = skew.with_group_size(frame, ["k", "j"], "n", hot_rows, hot_share, slices=4).collect()
+    got = skew.with_group_size(frame, ["k", "j"], "n", hot_rows, hot_share).collect()
     want = [(*r, sum(q[:2] == r[:2] for q in rows)) for r in rows]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_merge_keeps_large_numbers_and_groups(spark):
+    """Numbers beyond 2**53 beside NULLs, and 5,000 relations in one sentence."""
+    big = 2**53 + 1
+    rows = [("x", "d", 1, i, "a b", "<c>a</c> <e>b</e>", big if i == 0 else None) for i in range(5000)]
+    rows += [("x", "e", 1, 0, "a b", "<c>a</c> <e>b</e>", None)]
+    schema = "corpus string, doc_id string, sent_id int, example_id int, text string, tagged_text string, extra bigint"
+    frame = spark.createDataFrame([(*r[:4], *("".join(f"w{r[3]} v{r[3]}") for _ in range(1)), f"<c>w{r[3]}</c> <e>v{r[3]}</e>", r[6]) for r in rows], schema)
+    frame = frame.withColumn("text", F.expr("CASE WHEN doc_id = 'd' THEN array_join(transform(sequence(0, 4999), i -> concat('w', i, ' v', i, ',')), ' ') ELSE text END"))
+    merged = groups.merge_causal_groups(frame)
+    assert "Python" not in merged._jdf.queryExecution().toString()
+    # a short span also stands inside longer words, which keep the text small here
+    assert groups.merge_causal_groups(frame.where("doc_id = 'e'")).first().extra is None
+    sizes = frame.groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in sizes} == {"d": 5000, "e": 1}
+    few = groups.merge_causal_groups(frame.where("example_id < 9"))
+    assert {r.doc_id: r.extra for r in few.collect()} == {"d": big, "e": None}
+    many = frame.where("doc_id = 'd'").withColumns({"text": F.lit("a b"), "tagged_text": F.lit("<c>q</c> <e>b</e>")})
+    assert groups.merge_causal_groups(many).count() == 0
+    assert groups.malformed_relations(frame.withColumn("tagged_text", F.lit("<c>q</c>"))).count() == 5001
+
+
 def test_single_and_multi(spark):
     frame = spark.createDataFrame(sentences(9, 20, 3), SCHEMA)
     single = groups.causal_groups(frame, "single")
@@ -79,6 +99,16 @@ def test_single_and_multi(spark):
     assert single.where("tagged_text LIKE '%<c1>%'").count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 4, 1000])
+def test_chain_with_gaps(spark, block):
+    rows = [("k", p, f"e{p}", f"c{p}", 0) for p in (0, 1, 2, 3, 6, 7, 8, 5000)]
+    frame = spark.createDataFrame(rows, "k string, pos long, event string, short_context string, label long")
+    got = chains.chain_pairs_from_elements(frame, "k", "pos", block=block).collect()
+    assert {(r.example_id, tuple(r.events)) for r in got} == {
+        (f"reco_k_{i}", tuple(f"e{rows[i + n][1]}" for n in range(3))) for i in range(6)
+    }
+
+
 def test_dedup(spark):
     rows = [(3, "a"), (1, "a"), (2, "b"), (5, None), (4, None), (6, "c")]
     frame = spark.createDataFrame(rows, "row_id int, text string")

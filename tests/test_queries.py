@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from causeway.plans.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -36,9 +37,9 @@ def ordered(rows):
     return sorted(rows, key=lambda row: tuple((v is None, str(v)) for v in row))
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    frame = entry.queries()[name](spark, SF_DIR)
+    frame = QUERIES[name](spark, SF_DIR)
     columns = sorted(frame.columns)
     got = [tuple(plain(v) for v in row) for row in frame.select(*columns).collect()]
     cursor = duck.execute(entry.oracle_sql()[name])

@@ -229,7 +229,7 @@ def test_templates(spark, tmp_path):
     assert len(TEMPLATES) == 10
     for name, template in TEMPLATES.items():
         check_template(template)
-        readers.write_template(template, str(tmp_path / "good" / f"{name}.json"))
+        readers.write_template(spark, template, str(tmp_path / "good" / f"{name}.json"))
     rows = readers.read_templates(spark, str(tmp_path / "good")).collect()
     assert {r.name for r in rows} == set(TEMPLATES)
     for row in rows:
@@ -237,7 +237,7 @@ def test_templates(spark, tmp_path):
         assert {k: row[k] for k in TEMPLATES[row.name]} == TEMPLATES[row.name]
     assert readers.load_template(spark, str(tmp_path / "good" / "span_detection.json")) == TEMPLATES["span_detection"]
     broken = {k: "x" for k in REQUIRED_KEYS if k != "question"}
-    readers.write_template(broken, str(tmp_path / "bad" / "t.json"))
+    readers.write_template(spark, broken, str(tmp_path / "bad" / "t.json"))
     assert readers.read_templates(spark, str(tmp_path / "bad")).first().missing_keys == ["question"]
     with pytest.raises(ValueError):
         readers.load_template(spark, str(tmp_path / "bad" / "t.json"))
@@ -261,7 +261,7 @@ def test_evaluate_spans(spark, data_dir, tmp_path):
         spark, SPAN, "fincausal", data_dir, out, TEMPLATES["span_detection"], answer_right, "stub", shot=3
     ).first()
     assert scores.exact_match == 1.0 and scores.f1 == 1.0
-    files = os.path.join(out, "reports", "task=span_detection", "dataset=fincausal", "filters=all", "model=stub")
+    files = os.path.join(out, "reports", "task=span_detection", "dataset=fincausal", "filters=all", "model=stub", "run=template_3_42")
     lines = [line for f in os.listdir(files) if f.endswith(".json") for line in open(os.path.join(files, f))]
     entries = json.loads(lines[0])
     assert len(lines) == 1 and list(entries) == sorted(entries)
