@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from causeway.llm.tables import written
 
 BLOCK = 512  # nodes of a block of a family, about
+FEW = 100_000  # large families, of 16 bytes each, that are broadcast
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,26 +23,27 @@ def components(edges: DataFrame) -> DataFrame:
     is written to the shared folder. Null ends and loops are left out.
     """
     a, b = F.col("a"), F.col("b")
-    now = written(edges.where("a <> b").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = _mark(now)
+    now, mark = _round(edges.where("a <> b").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.min("v").alias("low"))
-        large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
+        large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
         lows = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(lows, "u")
-        small = small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
-            lows.select("u", F.col("low").alias("v"))
-        )
-        now = written(small.distinct())
-        before, mark = mark, _mark(now)
+        pairs = F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))
+        small = large.join(lows, "u").select(F.inline(pairs)).where("u <> v")
+        before = mark
+        now, mark = _round(small)
         if before == mark:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _round(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """Distinct edges, written, with their number and the sum of their hashes."""
+    seen = Observation()
+    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    kept = written(edges.distinct().observe(seen, F.count("*").alias("edges"), mark.alias("mark")))
+    return kept, seen.get
 
 
 class Forest:
@@ -113,16 +115,21 @@ def family_components(members: DataFrame, linker: Linker, block: int = BLOCK) ->
     """
     payload = [c for c in members.columns if c not in ("node", "family")]
     members = written(members)
-    sizes = members.groupBy("family").agg(F.count("*").alias("size"))
-    rows = members.join(sizes, "family").where("size > 1")
-    blocks = F.when(F.col("size") <= 2 * block, F.lit(1)).otherwise(F.ceil(F.col("size") / block)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > 2 * block)
+    sizes = written(sizes.select("family", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    # One row for each large family; as long as these are few, members need not be shuffled for them.
+    large_families = sizes.count()
+    hint = F.broadcast if large_families <= FEW else lambda df: df
+    rows = members.join(hint(sizes), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     mates = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     units = rows.withColumn("with", F.explode(mates)).select(
         F.xxhash64("family", "with").alias("unit"), F.col("node").alias("label"), "node", *payload
     )
     first = written(_links(units, linker))
-    found = written(components(first))
+    found = components(first)
+    if not large_families:
+        return found
 
     large = rows.where("blocks > 1").join(found, "node", "left").withColumn("label", F.coalesce("root", "node"))
     parts = large.groupBy("family", "label").agg(F.count("*").alias("n"))
@@ -135,7 +142,7 @@ def family_components(members: DataFrame, linker: Linker, block: int = BLOCK) ->
         F.ceil((F.col("n") - F.col("inside")) / block).cast("int").alias("outer"),
         F.ceil(F.col("inside") / block).cast("int").alias("inner"),
     )
-    rest = large.drop("block", "blocks", "size", "root").join(mains, "family")
+    rest = large.drop("block", "blocks", "root").join(hint(mains), "family")
     is_main = F.col("label") == F.col("main")
     own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("inner")).otherwise(F.col("outer"))).cast("int")
     outer = F.sequence(F.lit(0), F.col("outer") - 1)
