@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from causeway.llm.fmindex import FmIndex
+from causeway.llm.tables import written
 from causeway.llm.text import ALNUM, Tokens, grouped, list_array, tokens_of
 
 WINDOW = 10  # words of a phrase
@@ -218,9 +219,18 @@ def remove_contamination(
     schema = StructType([*[f for f in docs.schema.fields if f.name != "n_removed"], StructField("n_removed", LongType())])
     cleaned = docs.select(*names).withColumn("n_removed", F.lit(0).cast("long"))
     blocks = [Phrases(i, window) for i in benchmark_blocks(benchmark, item_id_col, item_text_col, block_chars)]
-    for phrases in [*blocks, *blocks[: len(blocks) - 1]]:
-        cleaned = cleaned.mapInArrow(_cut(phrases, place, len(names)), schema)
-    return cleaned
+    before = -1
+    while True:
+        for phrases in blocks:
+            cleaned = cleaned.mapInArrow(_cut(phrases, place, len(names)), schema)
+        if len(blocks) == 1:
+            return cleaned
+        # a cut for one block may make a phrase of another, so all take their turns again
+        cleaned = written(cleaned)
+        removed = cleaned.agg(F.sum("n_removed")).first()[0] or 0
+        if removed in (0, before):
+            return cleaned
+        before = removed
 
 
 def _cut(phrases: Phrases, place: int, kept: int):
