@@ -616,15 +616,19 @@ def union_all(spark, sf):
         WHEN rank <= n - ceil(ceil(n / 5) / 2) THEN 'valid' ELSE 'test' END AS split FROM (
       SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('{SEED}|' || doc_id), doc_id) AS rank,
         count(*) OVER (PARTITION BY lang) AS n FROM documents))
-    SELECT doc_id, lang, split FROM s WHERE (lang = 'en' AND split <> 'test') OR (lang = 'de' AND split = 'test')""",
+    SELECT doc_id, lang, split, p.trained FROM s JOIN (VALUES ('en', 'de'), ('de', 'es'), ('es', 'fr'), ('fr', 'en')) p(trained, tested)
+      ON (lang = trained AND split <> 'test') OR (lang = tested AND split = 'test')""",
 )
 def cross_corpus(spark, sf):
+    """Each language with the test rows of the next one."""
     docs = documents(spark, sf).select("doc_id", "lang")
-    parts = [
-        splits.split_80_10_10(docs.where(F.col("lang") == lang), SEED, ["doc_id"])
-        for lang in ("en", "de")
+    languages = ("en", "de", "es", "fr")
+    parts = [splits.split_80_10_10(docs.where(F.col("lang") == lang), SEED, ["doc_id"]) for lang in languages]
+    crossed = [
+        splits.cross_corpus(parts[i], parts[(i + 1) % len(parts)]).withColumn("trained", F.lit(lang))
+        for i, lang in enumerate(languages)
     ]
-    return splits.cross_corpus(*parts)
+    return reduce(DataFrame.unionByName, crossed)
 
 
 # --- chains ----------------------------------------------------------------------
@@ -763,3 +767,4 @@ def argmax_class(spark, sf):
     return views.table(spark, sf, "embeddings").select(
         "vec_id", tagging.argmax_class(F.col("embedding")).alias("pred")
     )
+

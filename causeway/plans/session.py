@@ -16,7 +16,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("causeway.tables.partitions", str(cores))
+        .config("spark.causeway.tables.partitions", str(cores))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -26,9 +26,12 @@ def _write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def _write_pairs(df: DataFrame, path: str) -> None:
-    # Columns in another order and one too many, as in the published files.
-    _write_csv(df.select("eg_id", "text", F.lit("x").alias("context"), *[c for c in readers.PAIR_COLUMNS if c not in ("eg_id", "text")]), path)
+def write_pairs(df: DataFrame, path: str) -> None:
+    # Columns in another order and one too many, as in the published files, and whole
+    # numbers written with a decimal point.
+    rows = df.withColumn("seq_label", F.concat("seq_label", F.lit(".0")))
+    others = [c for c in readers.PAIR_COLUMNS if c not in ("eg_id", "text")]
+    _write_csv(rows.select("eg_id", "text", F.lit("x").alias("context"), *others), path)
 
 
 @query(
@@ -37,7 +40,7 @@ def _write_pairs(df: DataFrame, path: str) -> None:
 )
 def scan_pairs_csv(spark, sf):
     path = scratch.shared_folder(spark)
-    _write_pairs(views.pairs(spark, sf), path)
+    write_pairs(views.pairs(spark, sf), path)
     return readers.read_pairs_csv(spark, path)
 
 
@@ -46,7 +49,8 @@ _FIN = f"""WITH {views.SENTENCES_SQL}, fin AS (
     replace(s, ';', ',') AS text, (src_id + sent) % 2 AS labels, src_id, sent FROM sents)"""
 
 
-def _write_fincausal(spark, sf, folder: str) -> None:
+def _write_fincausal(spark, sf, folder: str, torn: int = 0) -> None:
+    """``torn``: lines of every so many documents get a field too many."""
     rows = views.sentences(spark, sf).select(
         F.concat_ws(".", "src_id", "sent").alias("Index"),
         F.replace("s", F.lit(";"), F.lit(",")).alias("Text"),
@@ -54,16 +58,22 @@ def _write_fincausal(spark, sf, folder: str) -> None:
         "src_id",
         "sent",
     )
+    if torn:
+        extra = F.concat("Text", F.lit("; and more"))
+        rows = rows.withColumn("Text", F.when(F.col("src_id") % torn == 0, extra).otherwise(F.col("Text")))
     for number, part in enumerate(corpora.FINCAUSAL_PARTS):
         path = os.path.join(folder, corpora.FINCAUSAL_FILE.format(part=part, task=1))
         ordered = rows.where(F.col("src_id") % 2 == number).orderBy("src_id", "sent")
         _write_csv(ordered.select("Index", "Text", "Gold"), path, "; ")
 
 
-@query("scan_delimited", f"{_FIN} SELECT example_id, text, labels::VARCHAR AS labels FROM fin")
+@query(
+    "scan_delimited",
+    f"{_FIN} SELECT example_id, text, labels::VARCHAR AS labels FROM fin WHERE src_id % 40 <> 0",
+)
 def scan_delimited(spark, sf):
     folder = scratch.shared_folder(spark)
-    _write_fincausal(spark, sf, folder)
+    _write_fincausal(spark, sf, folder, torn=40)
     paths = {
         f"fincausal{part}": os.path.join(folder, corpora.FINCAUSAL_FILE.format(part=part, task=1))
         for part in corpora.FINCAUSAL_PARTS
@@ -147,7 +157,7 @@ _ADAPTIVE = f"""ranked AS (
 )
 def load_span_corpus(spark, sf):
     folder = scratch.shared_folder(spark)
-    _write_pairs(views.pairs(spark, sf), os.path.join(folder, corpora.ONE_FILE["pdtb"]))
+    write_pairs(views.pairs(spark, sf), os.path.join(folder, corpora.ONE_FILE["pdtb"]))
     rows = corpora.load_corpus(spark, "pdtb", rules.SPAN, folder, seed=SEED)
     return rows.withColumns({c: F.array_join(c, "|") for c in ("tokens", "tags")})
 
@@ -164,7 +174,7 @@ def load_sequence_corpus(spark, sf):
     rows = views.pairs(spark, sf)
     is_test = F.col("doc_id").rlike("^wsj_(00|01|22|23|24)")
     for part, chosen in (("train", ~is_test), ("test", is_test)):
-        _write_pairs(rows.where(chosen), os.path.join(folder, f"{corpora.TWO_FILES['ctb']}_{part}.csv"))
+        write_pairs(rows.where(chosen), os.path.join(folder, f"{corpora.TWO_FILES['ctb']}_{part}.csv"))
     return corpora.load_corpus(spark, "ctb", rules.SEQUENCE, folder, num_sent="intra", seed=SEED)
 
 
@@ -201,13 +211,66 @@ def load_delimited_corpus(spark, sf):
 )
 def load_cross_corpus(spark, sf):
     folder = scratch.shared_folder(spark)
-    _write_pairs(views.pairs(spark, sf), os.path.join(folder, corpora.ONE_FILE["because"]))
+    write_pairs(views.pairs(spark, sf), os.path.join(folder, corpora.ONE_FILE["because"]))
     _write_fincausal(spark, sf, folder)
     return corpora.load_data(
         spark, rules.SEQUENCE, "because", folder, test_corpus="fincausal", test_samples=50, seed=SEED
     )
 
 
+@query(
+    "load_tsv_corpus",
+    f"""WITH rows AS (
+      SELECT n_chars % 2 AS labels, 'kessan_' || doc_id AS example_id, replace(text, chr(10), ' ') AS text FROM documents
+    ), ranked AS (
+      SELECT *, row_number() OVER (ORDER BY md5('{SEED}|' || example_id || '|' || text)) AS rank, count(*) OVER () AS n FROM rows)
+    SELECT example_id, text, labels, CASE WHEN rank <= n - ceil(n / 5) THEN 'train'
+      WHEN rank <= n - ceil(ceil(n / 5) / 2) THEN 'valid' ELSE 'test' END AS split FROM ranked""",
+)
+def load_tsv_corpus(spark, sf):
+    folder = scratch.shared_folder(spark)
+    rows = documents(spark, sf).select(
+        (F.col("n_chars") % 2).alias("gold"),
+        F.col("doc_id").alias("id"),
+        F.replace("text", F.lit("\n"), F.lit(" ")).alias("sentence"),
+    )
+    name, _ = corpora.JAPANESE_TSV["jpfinresults"]
+    _write_csv(rows, os.path.join(folder, name), "\t")
+    return corpora.load_corpus(spark, "jpfinresults", rules.SEQUENCE, folder, seed=SEED)
+
+
+@query(
+    "load_chain_corpus",
+    f"""WITH {views.INSTANCES_SQL}, placed AS (SELECT *, split_part(example_id, '_', 2)::BIGINT % 3 AS part FROM inst_pairs)
+    SELECT example_id, array_to_string(events, '|') AS events, array_to_string(short_contexts, '|') AS short_contexts, labels,
+      CASE part WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END AS split FROM placed""",
+)
+def load_chain_corpus(spark, sf):
+    folder = scratch.shared_folder(spark)
+    rows = views.instances(spark, sf)
+    for number, file in enumerate(corpora.SPLIT_FILES.values()):
+        chosen = rows.where(F.col("index").cast("bigint") % 3 == number)
+        _write_instances(chosen, os.path.join(folder, "reco", f"{file}.json"))
+    rows = corpora.load_corpus(spark, "reco", rules.CHAIN, folder, multi_line=False)
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("events", "short_contexts")})
+
+
+@query(
+    "load_quarantine",
+    f"""{_ANN} SELECT 'number' AS reason, doc_id, eg_id::VARCHAR AS eg_id, text FROM ann WHERE src_id % 50 = 0""",
+)
+def load_quarantine(spark, sf):
+    """Rows whose sentence number is none, out of a corpus file."""
+    folder = scratch.shared_folder(spark)
+    rows = views.pairs(spark, sf)
+    spoilt = F.when(F.col("src_id") % 50 == 0, "n/a").otherwise(F.col("sent_id").cast("string"))
+    write_pairs(rows.withColumn("sent_id", spoilt), os.path.join(folder, corpora.ONE_FILE["pdtb"]))
+    rejected = corpora.load_quarantine(spark, "pdtb", rules.SPAN, folder)
+    return rejected.select(
+        "reason", *[F.get_json_object("record", f"$.{c}").alias(c) for c in ("doc_id", "eg_id", "text")]
+    )
+
+
 # --- sinks -----------------------------------------------------------------------
 
 

@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; a session on one machine may ask for its rows to be dealt out.
 
     The test tables are single files, which one task would read. A cluster's tables
-    have many files, and it does not set ``causeway.tables.partitions``.
+    have many files, and it does not set ``spark.causeway.tables.partitions``.
     """
     rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    parts = spark.conf.get("causeway.tables.partitions", "")
+    parts = spark.conf.get("spark.causeway.tables.partitions", "")
     return rows.repartition(int(parts)) if parts and name in DEALT else rows
 
 
@@ -264,7 +264,7 @@ _SPAN_RESPONSES = """
       WHEN (src_id + sent_id) % 5 = 0 THEN 'Causes: x' || chr(10) || 'Causes: ' || c || chr(10) || 'Effects: ' || e
       ELSE 'Causes: [' || c || ']' || chr(10) || 'Effects: [' || split_part(e, ' ', 1) || ']' END AS output
   FROM (SELECT *, regexp_extract(tagged_text, '<c>(.*?)</c>', 1) AS c,
-          regexp_extract(tagged_text, '<e>(.*?)</e>', 1) AS e FROM {span_rows} WHERE example_id = 0) AS x"""
+          regexp_extract(tagged_text, '<e>(.*?)</e>', 1) AS e FROM {span_rows}) AS x"""
 
 
 def span_responses(spark: SparkSession, span_rows: DataFrame) -> DataFrame:
@@ -318,11 +318,12 @@ def _clue_select(dialect: str, sents: str) -> str:
       WHEN 2 THEN '<b1>' || c1 || '<b2>' || e1 || '</b2></b1> <r1>' || c2 || '</r1><r2>' || e2 || '</r2>' || rest
       WHEN 3 THEN rest || '<r1>' || e1 || '</r1>' || c2 || '<b1>' || c1 || '</b1>' || e2
       ELSE '<b1>' || c1 || '</b1><r1>' || e1 || '</r1><b3>' || c2 || '</b3><r3>' || e2 || '</r3>' || rest END AS tagged_sentence
-  FROM ({_spans(dialect, sents)}) AS spans"""
+  FROM ({_spans(dialect, sents)}) AS spans
+  UNION ALL SELECT source, src_id, sent AS sent_id, s AS tagged_sentence FROM {sents} WHERE {_size(dialect)} < 8"""
 
 
 def clue_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences marked with clue, cause and effect tags: one, two, nested, reversed."""
+    """Sentences marked with clue, cause and effect tags: none, one, two, nested, reversed."""
     return spark.sql(_clue_select("spark", "{sents}"), sents=sentences(spark, sf_dir))
 
 
