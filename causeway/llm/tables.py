@@ -1,38 +1,17 @@
-"""Given tables, and folders that all executors share."""
+"""Given tables, and intermediate ones that all executors share."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.sources.scratch import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=8)
-def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="run-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir.
-
-    Only a local session, all of whose tasks run on this machine, may do without one.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    if not shared:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = _own_folder(spark.sparkContext.applicationId)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read from there.
 
