@@ -101,32 +101,31 @@ def _links(units: DataFrame, linker: Linker) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(work, "a long, b long")
 
 
-def family_components(members: DataFrame, linker: Linker, block: int = BLOCK) -> DataFrame:
+def family_components(families: DataFrame, payload: DataFrame, linker: Linker, block: int = BLOCK) -> DataFrame:
     """Components (``node, root``) of the links that ``linker`` finds within families.
 
-    ``members`` has ``node, family`` and what the linker reads, one row a node; nodes in
-    different families are never linked. The linker gets the columns of some members and
-    their labels, and returns linked pairs of members with different labels, at least so
-    many that they join all that hang together.
+    ``families`` has ``node, family``, one row a node; ``payload`` has ``node``, once each,
+    and what the linker reads. Nodes in different families are never linked. The linker
+    gets the columns of some members and their labels, and returns linked pairs of members
+    with different labels, at least so many that they join all that hang together.
 
     A family of up to two blocks is one unit of work. A larger one is cut into blocks, and
     first each block meets the first one. Members that then are in the family's largest
     component need no comparison with one another. The others, in blocks, meet everyone.
     """
-    payload = [c for c in members.columns if c not in ("node", "family")]
-    members = written(members)
-    sizes = members.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > 2 * block)
+    columns = [c for c in payload.columns if c != "node"]
+    sizes = families.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > 2 * block)
     sizes = written(sizes.select("family", F.ceil(F.col("size") / block).cast("int").alias("blocks")))
-    # One row for each large family; as long as these are few, members need not be shuffled for them.
+    # One row for each large family; as long as these are few, nodes need not be shuffled for them.
     large_families = sizes.count()
     hint = F.broadcast if large_families <= FEW else lambda df: df
-    rows = members.join(hint(sizes), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = families.join(hint(sizes), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     mates = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     units = rows.withColumn("with", F.explode(mates)).select(
-        F.xxhash64("family", "with").alias("unit"), F.col("node").alias("label"), "node", *payload
+        F.xxhash64("family", "with").alias("unit"), F.col("node").alias("label"), "node"
     )
-    first = written(_links(units, linker))
+    first = written(_links(units.join(payload, "node").select("unit", "label", "node", *columns), linker))
     found = components(first)
     if not large_families:
         return found
@@ -142,7 +141,7 @@ def family_components(members: DataFrame, linker: Linker, block: int = BLOCK) ->
         F.ceil((F.col("n") - F.col("inside")) / block).cast("int").alias("outer"),
         F.ceil(F.col("inside") / block).cast("int").alias("inner"),
     )
-    rest = large.drop("block", "blocks", "root").join(hint(mains), "family")
+    rest = large.select("family", "node", "label").join(hint(mains), "family")
     is_main = F.col("label") == F.col("main")
     own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("inner")).otherwise(F.col("outer"))).cast("int")
     outer = F.sequence(F.lit(0), F.col("outer") - 1)
@@ -152,9 +151,9 @@ def family_components(members: DataFrame, linker: Linker, block: int = BLOCK) ->
     to_outer = F.transform(outer, lambda o: F.struct(F.lit(1).alias("kind"), o.alias("x"), own.alias("y")))
     meets = F.when(is_main, to_outer).otherwise(F.concat(with_outer, with_inner))
     units = rest.withColumn("with", F.explode(meets)).select(
-        F.xxhash64("family", "with.kind", "with.x", "with.y").alias("unit"), "label", "node", *payload
+        F.xxhash64("family", "with.kind", "with.x", "with.y").alias("unit"), "label", "node"
     )
-    second = written(_links(units, linker))
+    second = written(_links(units.join(payload, "node").select("unit", "label", "node", *columns), linker))
     if second.isEmpty():
         return found
     return components(first.unionByName(second))

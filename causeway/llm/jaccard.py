@@ -2,10 +2,12 @@
 
 A document is its set of hashed word shingles. Two sets that are similar enough differ in
 at most ``k`` shingles, ``k`` following from their sizes. So if the shingles are dealt to
-``k + 1`` parts by their hash, the two agree in one whole part. Sizes fall into bands such
-that a similar pair lies in one band or two neighbouring ones; a set has keys for its own
-band and the one below. Sets that share a key belong to one family, and nothing outside
-a family can be linked.
+``k + 1 + s`` parts by their hash, the two agree in ``s + 1`` whole parts. Empty parts tell
+nothing: a set with at most ``s`` of them has keys for the others only, as one of the agreeing
+parts is no empty one; the few sets with more have keys for all parts. Sizes fall into bands
+such that a similar pair lies in one band or two neighbouring ones; a set has keys for its
+own band and the one below. Sets that share a key belong to one family, and nothing
+outside a family can be linked.
 
 In a family, sets are the leaves of a signature tree. A node holds the bitmaps of its sets'
 tokens, combined by OR, and the range of their sizes. Pairs of nodes are traversed from the
@@ -15,6 +17,7 @@ the bitmaps admit is too small. Leaves that are left are compared exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +44,7 @@ class Bands:
         if not 0 < percent <= 100:
             raise ValueError("the similarity is a percentage above 0")
         self.percent = percent
-        self.lows, self.parts = [1], []
+        self.lows, self.parts, self.spare = [1], [], []
 
     def reach(self, size: int) -> None:
         """Make bands up to a size."""
@@ -52,7 +55,14 @@ class Bands:
             top = after - 1
             differ = (top + top * 100 // p) * (100 - p) // (100 + p)
             self.lows.append(after)
-            self.parts.append(differ + 1)
+            spare = 0
+            while spare < differ // 2:  # as many empty parts as a set of this size has, with a margin
+                empty = (differ + 1 + spare) * math.exp(-low / (differ + 1 + spare))
+                if empty + 4 * math.sqrt(empty) <= spare + 0.5:
+                    break
+                spare += 1
+            self.parts.append(differ + 1 + spare)
+            self.spare.append(spare)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, sizes, "right") - 1
@@ -79,11 +89,14 @@ def _keys(sets: list[np.ndarray], prints: np.ndarray, bands: Bands) -> tuple[np.
         live = used[owner]
         place = start[owner[live]] + (values[live] % parts[owner[live]].astype(np.uint64)).astype(np.int64)
         np.add.at(sums, place, weights[live])
+        filled = np.bincount(place, minlength=len(sums)) > 0
         holder = np.repeat(np.arange(len(sets)), parts)
+        empty = np.bincount(holder[~filled], minlength=len(sets))
+        kept = filled | (empty > np.array(bands.spare)[np.maximum(band, 0)])[holder]
         nth = np.arange(len(sums)) - start[holder]
         salt = mix((band[holder].astype(np.uint64) << np.uint64(32)) + nth.astype(np.uint64))
-        keys.append(mix(sums + salt))
-        nodes.append(prints[holder])
+        keys.append(mix(sums + salt)[kept])
+        nodes.append(prints[holder[kept]])
     key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
     order = np.argsort(key, kind="stable")
     key, node = key[order], node[order]
@@ -307,7 +320,6 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
                 )
 
     candidates = texts.select("text").mapInArrow(members, "node long, tokens array<long>").dropDuplicates(["node"])
-    candidates = candidates.join(families.withColumnRenamed("root", "family"), "node")
 
     def linker(payload: dict, labels: np.ndarray) -> list[tuple[int, int]]:
         tokens = payload["tokens"]
@@ -315,5 +327,5 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         cuts = cuts - cuts[0]
         return similar_links([np.sort(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], labels, percent)
 
-    linked = family_components(candidates, linker)
+    linked = family_components(families.withColumnRenamed("root", "family"), candidates, linker)
     return documents.join(linked, "node", "left").withColumn("part", F.coalesce("root", "node"))
