@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD = 8192  # vectors in a shard, about
-BLOCK = 1024  # queries that are sent to a shard at once, about
-PROJECTIONS = 64
-SHARE = 0.55  # of the windows that must hold a vector
+SHARD = 1 << 16  # vectors in a shard, about
+BLOCK = 512  # queries that are sent to a shard at once, about
+PROJECTIONS = 32
+SHARE = 0.57  # of the windows that must hold a vector
 WIDTH = 2.0  # of a window, in radii
-GROWTH = 1.2  # of the radius in each round
+GROWTH = 1.3  # of the radius in each round
 START = 0.2  # the first radius, in units of M
 
 
@@ -150,7 +150,7 @@ def nearest(
         if is_query.any() and not is_query.all():
             shard = Shard(ids[~is_query], matrix[~is_query], largest, seed)
             at = np.flatnonzero(is_query)
-            for part in np.array_split(at, max(1, len(at) // 256)):
+            for part in np.array_split(at, max(1, len(at) // 128)):
                 for total_column, column in zip(found, shard.search(ids[part], matrix[part], k), strict=True):
                     total_column.extend(column)
         return pa.table(
