@@ -41,21 +41,20 @@ def count_ids(text: str, vocabulary: Vocabulary, matches: ahocorasick.Automaton)
     found = matches.iter(text)
     ahead = next(found, None)
     for end in range(1, len(text) + 1):
-        options = []
-        while ahead is not None and ahead[0] == end - 1:
-            options.append(ahead[1])
-            ahead = next(found, None)
-        options.sort(reverse=True)  # the longest piece first: it wins a tie
-        top, number = None, 0
-        for length, score in options:
-            total = sums[(end - length) % ring] + score
+        top, number, length = None, 0, 0
+        while ahead is not None and ahead[0] == end - 1:  # the longest piece first: it wins a tie
+            length, score = ahead[1]
+            place = (end - length) % ring
+            total = sums[place] + score
             if top is None or total > top:
-                top, number = total, counts[(end - length) % ring] + 1
-        if not options or options[-1][0] > 1:  # no piece covers the character
-            total = sums[(end - 1) % ring] + missing
+                top, number = total, counts[place] + 1
+            ahead = next(found, None)
+        if length != 1:  # no piece covers the character
+            place = (end - 1) % ring
+            total = sums[place] + missing
             if top is None or total > top:
                 own = len(text[end - 1].encode("utf-8", "surrogatepass")) if spelled else 1
-                top, number = total, counts[(end - 1) % ring] + own
+                top, number = total, counts[place] + own
         sums[end % ring], counts[end % ring] = top, number
         if end % (1 << 12) == 0:
             sums = [s - top for s in sums]

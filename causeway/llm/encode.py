@@ -1,7 +1,8 @@
 """SentencePiece encoding by a streaming Viterbi search, and decoding.
 
-The search keeps a window of the last ``longest`` boundaries. Whenever all paths that could
-still win go back to one boundary, the ids up to it are committed and the window is cut.
+The search keeps the boundaries that paths may still reach back to, which the longest piece
+bounds. When all paths that could still win go back to one boundary, the ids up to it are
+committed and the window moves on.
 Stretches between sure boundaries (in front of a space, at a line break) repeat a lot, so
 a task remembers their ids in a table of bounded size.
 """
@@ -18,52 +19,68 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from causeway.llm.pieces import BLANK, Vocabulary
 from causeway.llm.text import grouped, list_array
 
-REMEMBERED = 200_000  # stretches a task remembers; longer ones than LONGEST are not
+REMEMBERED = 400_000  # stretches a task remembers; longer ones than LONGEST are not
 LONGEST = 64
+SPAN = 128  # boundaries after which a path is committed as far as it is sure
 
 
 def best_path(text: str, vocabulary: Vocabulary) -> Iterator[tuple[int, int]]:
     """Ranges of the best path through ``text``, committed while it is read.
 
     The best path has the highest sum of scores; at a tie, the last piece is the longest
-    one, at every boundary. Scores are summed from the last committed boundary on.
+    one, at every boundary. Scores are summed from the last committed boundary on. Only the
+    boundaries behind that one are held: when ``SPAN`` of them are done, whatever is common
+    to all paths that reach beyond is committed; nothing in common makes the span longer.
     """
-    scores, longest, missing = vocabulary.scores, vocabulary.longest, vocabulary.unknown_score
-    sums = {0: 0.0}  # of the best path to a boundary in the window
-    back: dict[int, int] = {}
-    done, size = 0, len(text)
-    for end in range(1, size + 1):
-        top, origin = None, end - 1
-        for start in range(max(done, end - longest), end):
-            score = scores.get(text[start:end])
-            if score is None:
-                if start < end - 1:
-                    continue
-                score = missing  # only if no piece covers the character
-            total = sums[start] + score
-            if top is None or total > top:
-                top, origin = total, start
-        sums[end], back[end] = top, origin
-        if end % longest == 0 or end == size:
-            heads = {end} if end == size else set(range(max(done, end - longest + 1), end + 1))
+    root, longest, missing = vocabulary.trie, vocabulary.longest, vocabulary.unknown_score
+    size, done, span = len(text), 0, SPAN
+    sums: list = [0.0] + [None] * (span + longest)  # of the best path to each boundary
+    back = [0] * len(sums)
+    at = 0
+    while done + at < size:
+        if at == span:
+            heads = {i for i in range(at, len(sums)) if sums[i] is not None}
             while len(heads) > 1:
                 last = max(heads)
                 heads.remove(last)
-                heads.add(back[last] if last > done else done)
+                heads.add(back[last])
             (common,) = heads
-            if common > done:
-                path = [common]
-                while path[-1] > done:
-                    path.append(back[path[-1]])
-                path.reverse()
-                yield from zip(path[:-1], path[1:], strict=True)
+            if common:
+                yield from _trace(back, common, done)
                 base = sums[common]
-                sums = {b: s - base for b, s in sums.items() if b >= common}
-                back = {b: s for b, s in back.items() if b > common}
-                done = common
+                sums = [s if s is None else s - base for s in sums[common:]] + [None] * common
+                back = [max(0, b - common) for b in back[common:]] + [0] * common
+                done, at = done + common, at - common
             else:
-                low = end - longest
-                sums = {b: s for b, s in sums.items() if b >= low}
+                sums += [None] * span
+                back += [0] * span
+                span *= 2
+        base, node, end, covered = sums[at], root, at, False
+        for char in text[done + at : done + at + longest]:
+            node = node.get(char)
+            if node is None:
+                break
+            end += 1
+            score = node.get("")
+            if score is not None:
+                total = base + score
+                if sums[end] is None or total > sums[end]:
+                    sums[end], back[end] = total, at
+                covered = covered or end == at + 1
+        at += 1
+        if not covered and (sums[at] is None or base + missing > sums[at]):
+            sums[at], back[at] = base + missing, at - 1
+    yield from _trace(back, at, done)
+
+
+def _trace(back: list[int], end: int, origin: int) -> list[tuple[int, int]]:
+    """The ranges of the path to a boundary."""
+    found = []
+    while end:
+        found.append((origin + back[end], origin + end))
+        end = back[end]
+    found.reverse()
+    return found
 
 
 def ids_of(text: str, vocabulary: Vocabulary) -> list[int]:

@@ -7,6 +7,7 @@ model says for an identity normalizer: a space becomes U+2581 and one is put in
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 BLANK = "▁"
 MAX_PIECES = 1_000_000
@@ -68,6 +69,20 @@ class Vocabulary:
             size,
         )
 
+    @cached_property
+    def trie(self) -> dict:
+        """Nested dicts by character; a piece's score stands under the empty string."""
+        root: dict = {}
+        for piece, score in self.scores.items():
+            node = root
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = score
+        return root
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "trie"}
+
     def borders(self) -> str:
         """Of space and line break, those that stand in no piece but at its beginning.
 
