@@ -173,7 +173,7 @@ def labelled_kinds(labels: DataFrame, sample: int) -> tuple[DataFrame, np.ndarra
 
 
 def _without_copies(sampled: DataFrame) -> DataFrame:
-    """One id for each kind and sketch, so that a group of copies does not make its words typical."""
+    """One id for each kind and sketch: a group of copies must not make its words typical."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,19 +197,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     kinds, documents = labelled_kinds(labels, sample)
     texts = docs.select("doc_id", "text")
     # About ``sample`` ids of each kind, at most, are broadcast, here and below.
-    kinds = _without_copies(texts.join(F.broadcast(kinds), "doc_id"))
-    marked = texts.join(F.broadcast(kinds), "doc_id", "left").select("text", "kind")
+    single = _without_copies(texts.join(F.broadcast(kinds), "doc_id")).select("doc_id", F.lit(True).alias("single"))
+    marked = texts.join(F.broadcast(kinds), "doc_id", "left").join(F.broadcast(single), "doc_id", "left")
+    marked = marked.select("text", "kind", F.coalesce("single", F.lit(False)).alias("single"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {name: np.zeros(BUCKETS, np.int64) for name in COUNTED}
         sampled = np.zeros(len(KINDS), np.int64)
         for batch in batches:
             texts, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            is_single = batch.column(2).to_numpy(zero_copy_only=False)
             for begin, end in grouped(texts):
                 grams = Grams.of(texts[begin:end])
                 kind = np.array([-1 if k is None else k for k in own[begin:end]], np.int64)
-                sampled += np.bincount(kind[kind >= 0], minlength=len(KINDS))
-                of_gram, of_word = kind[grams.owner], kind[grams.word_owner]
+                once = np.where(is_single[begin:end], kind, -1)  # copies say nothing new about wording
+                sampled += np.bincount(once[once >= 0], minlength=len(KINDS))
+                of_gram, of_word = kind[grams.owner], once[grams.word_owner]
                 target, low = of_gram == 0, of_gram == 1
                 for name, bucket, times in (
                     ("raw_times", grams.bucket, grams.times),
