@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.tables import written
 
-BLOCK = 512  # nodes of a block of a family, about
+BLOCK = 1024  # nodes of a block of a family, about
 FEW = 100_000  # large families, of 16 bytes each, that are broadcast
 
 
@@ -104,8 +104,9 @@ def _links(units: DataFrame, linker: Linker) -> DataFrame:
 def family_components(families: DataFrame, payload: DataFrame, linker: Linker, block: int = BLOCK) -> DataFrame:
     """Components (``node, root``) of the links that ``linker`` finds within families.
 
-    ``families`` has ``node, family``, one row a node; ``payload`` has ``node``, once each,
-    and what the linker reads. Nodes in different families are never linked. The linker
+    ``families`` has ``node, family``, a node once in each of its families; ``payload`` has
+    ``node``, once each, and what the linker reads. Nodes that share no family are never
+    linked. The linker
     gets the columns of some members and their labels, and returns linked pairs of members
     with different labels, at least so many that they join all that hang together.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from causeway.llm.components import Forest, components, family_components
+from causeway.llm.components import BLOCK, Forest, components, family_components
 from causeway.llm.tables import row_key, written
 from causeway.llm.text import SOLID, Alphabet, distinct_sets, grouped, list_array, mix, tokens_of
 
@@ -268,6 +268,24 @@ def repeated_documents(
     return rows.join(firsts, "part").where("place <> first").select("place.row").distinct()
 
 
+def _by_band(families: DataFrame, documents: DataFrame, percent: int, large: int = 2 * BLOCK) -> DataFrame:
+    """``node, family``, large families being split by size.
+
+    A link holds between sets of one band or two neighbouring ones, so a member of a large
+    family goes to the family of its own band and to that of the band below.
+    """
+    families = families.withColumnRenamed("root", "family")
+    sizes = families.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") > large)
+    bands = Bands(percent)
+    bands.reach(documents.agg(F.max("n_shingles")).first()[0] or 1)
+    band = F.size(F.filter(F.array(*[F.lit(low) for low in bands.lows]), lambda low: low <= F.col("n_shingles")))
+    counted = documents.select("node", "n_shingles").distinct()
+    split = families.join(sizes, "family").join(counted, "node")
+    split = split.select("node", F.explode(F.array(band, band - 1)).alias("band"), "family")
+    split = split.select("node", F.xxhash64("family", "band").alias("family"))
+    return written(families.join(sizes, "family", "left_anti").select("node", "family").unionByName(split))
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, alphabet: Alphabet) -> DataFrame:
     """``id, row, n_shingles, part`` of every row; ``part`` names its component."""
     texts = docs.select(
@@ -327,5 +345,5 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         cuts = cuts - cuts[0]
         return similar_links([np.sort(flat[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], labels, percent)
 
-    linked = family_components(families.withColumnRenamed("root", "family"), candidates, linker)
+    linked = family_components(_by_band(families, documents, percent), candidates, linker)
     return documents.join(linked, "node", "left").withColumn("part", F.coalesce("root", "node"))
