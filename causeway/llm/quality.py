@@ -144,7 +144,9 @@ class Model:
         wording = np.bincount(grams.word_owner, weaker, len(texts))
         with np.errstate(divide="ignore"):
             shares = np.log(self.shares)
-        return -np.logaddexp.reduce(np.stack([shares[0] + 0 * style, shares[1] + style, shares[2] + wording]))
+        weights = -np.logaddexp.reduce(np.stack([shares[0] + 0 * style, shares[1] + style, shares[2] + wording]))
+        weights[np.bincount(grams.owner, minlength=len(texts)) + np.bincount(grams.word_owner, minlength=len(texts)) == 0] = 0.0
+        return weights
 
 
 def labelled_kinds(labels: DataFrame, sample: int) -> tuple[DataFrame, np.ndarray]:

@@ -189,3 +189,10 @@ def test_pipeline(spark):
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").where("quality = 1 AND toxic = 0")
     clean = docs.join(labels, "doc_id", "left_semi")
     assert seen[1].join(labels, "doc_id", "left_semi").count() >= 0.95 * clean.count()
+
+
+@pytest.mark.parametrize("documents", [(299, 49, 51), (27, 3, 10), (100, 30, 7), (5, 0, 1)])
+def test_texts_without_words_have_weight_one(documents):
+    flat = np.zeros(quality.BUCKETS)
+    model = quality.Model(np.array(documents) / sum(documents), flat, (flat, flat))
+    assert model.log_weights([None, "", " \n", "a b"])[:3].tolist() == [0.0] * 3
