@@ -196,3 +196,11 @@ def test_texts_without_words_have_weight_one(documents):
     flat = np.zeros(quality.BUCKETS)
     model = quality.Model(np.array(documents) / sum(documents), flat, (flat, flat))
     assert model.log_weights([None, "", " \n", "a b"])[:3].tolist() == [0.0] * 3
+
+
+def test_repeated_rows_leave_one(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "en", "a", 33)] * 3 + [(2, text, "en", "a", 33), (3, "", "en", "b", 0), (3, "", "en", "b", 0), (4, "quite another text", "en", "b", 18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4]
