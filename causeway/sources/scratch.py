@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -32,3 +32,13 @@ def release() -> None:
         with contextlib.suppress(Exception):  # the session may have ended before
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows, written once to a shared folder and read from there.
+
+    This cuts lineage, survives the loss of executors and fixes what depends on partitions.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
