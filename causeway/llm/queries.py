@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import counts, decontaminate, encode, jaccard, langid, licenses, lines, nearest, quality, urls
+from causeway.llm import (
+    audit,
+    counts,
+    decontaminate,
+    encode,
+    jaccard,
+    langid,
+    licenses,
+    lines,
+    mixing,
+    nearest,
+    quality,
+    runs,
+    urls,
+)
 from causeway.llm.pieces import Vocabulary
 from causeway.llm.tables import table
 
@@ -217,3 +231,128 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("lines", F.array().cast("array<int>")).alias("removed"),
     )
+
+
+OP11_SQL = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    coalesce(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), firsts AS (
+  SELECT t, min(doc_id) AS first_id FROM base GROUP BY t
+), known AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+  SELECT b.part, coalesce(k.good, false) AS good, coalesce(k.toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(b.t, '[^A-Z]+', '', 'g')) > 2 * length(b.t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(b.t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN f.first_id < b.doc_id THEN 'E' ELSE '' END AS fails
+  FROM base b JOIN firsts f ON f.t = b.t LEFT JOIN known k ON k.doc_id = b.doc_id
+), letters(l) AS (
+  VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT filter_order, i AS step, substr(filter_order, i, 1) AS own, substr(filter_order, 1, i - 1) AS before
+  FROM orders, (VALUES (1), (2), (3), (4), (5)) AS x(i)
+), sets AS (
+  SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM flags GROUP BY part, fails
+), marked AS (
+  SELECT s.part, t.filter_order, t.step, t.own, s.fails, s.n, s.good, s.toxic, contains(s.fails, t.own) AS hit,
+    t.before <> '' AND s.fails <> '' AND regexp_matches(s.fails, '[' || t.before || '0]') AS gone
+  FROM sets s, steps t
+), report AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (NOT hit AND NOT gone) AS kept,
+    sum(n) FILTER (hit AND NOT gone) AS removed,
+    sum(n) FILTER (hit AND gone) AS redundant,
+    sum(n) FILTER (fails = own) AS unique_fails,
+    sum(good) FILTER (hit AND NOT gone) AS good_lost,
+    sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost
+  FROM marked GROUP BY ALL
+)
+SELECT part, filter_order, cast(step AS integer) AS step, cast(coalesce(kept, 0) AS bigint) AS kept,
+  cast(coalesce(removed, 0) AS bigint) AS removed, cast(coalesce(redundant, 0) AS bigint) AS redundant,
+  cast(coalesce(unique_fails, 0) AS bigint) AS unique_fails, cast(coalesce(good_lost, 0) AS bigint) AS good_lost,
+  cast(coalesce(toxic_lost, 0) AS bigint) AS toxic_lost,
+  cast(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS bigint) AS shapley
+FROM report
+"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters do at every step of every order, for every source."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return audit.audit(documents, table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    xor(4294967295::UBIGINT, list_reduce(
+      list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(cast(doc_id AS varchar), ''),
+        lambda c: list_concat([ascii(c)::UBIGINT], list_resize([]::UBIGINT[], 8, 256::UBIGINT))))),
+      lambda a, x: CASE WHEN x < 256 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END
+    ))::BIGINT AS h
+  FROM documents
+), placed AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split
+), tailed AS (
+  SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM placed
+), texts AS (
+  SELECT row, doc_id, CASE WHEN a IS NULL THEN w ELSE
+    list_transform(range(0, len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w
+  FROM tailed
+), words AS (
+  SELECT row, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM texts
+), pairs AS (
+  SELECT x.row, x.i, y.i - x.i AS q FROM words x JOIN words y ON y.row = x.row AND y.word = x.word
+    AND y.i > x.i AND y.i - x.i <= x.n // 4
+), stretches AS (
+  SELECT row, q, min(i) AS s, count(*) + q AS l
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS block FROM pairs) GROUP BY row, q, block
+), runs AS (
+  SELECT row, s, l, min(q) AS q FROM stretches WHERE l >= greatest(6, 4 * q) GROUP BY row, s, l
+), dropped AS (
+  SELECT DISTINCT row, unnest(range(s + q, s + l)) AS i FROM runs
+), kept AS (
+  SELECT w.row, string_agg(w.word, ' ' ORDER BY w.i) AS t FROM words w ANTI JOIN dropped d ON d.row = w.row AND d.i = w.i GROUP BY w.row
+), found AS (
+  SELECT row, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY row
+), best AS (
+  SELECT r.row, r.s, r.l, r.q, row_number() OVER (
+    PARTITION BY r.row ORDER BY r.l // r.q DESC, cast(r.l % r.q AS double) / r.q DESC, r.s, r.q) AS place
+  FROM runs r
+)
+SELECT t.doc_id, coalesce(f.n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period,
+  cast(1000 * b.l // b.q AS bigint) AS exponent_milli,
+  sha256(coalesce(f.lines, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN found f ON f.row = t.row LEFT JOIN best b ON b.row = t.row AND b.place = 1 LEFT JOIN kept k ON k.row = t.row
+"""
+
+
+@query("op12_periodic_runs", OP12_SQL)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least four periods in every whole document, and the text without their repeats."""
+    documents = table(spark, sf_dir, "documents")
+    texts = documents.select("doc_id", runs.made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.periodic_runs(texts).withColumn("best", runs.best_run(F.col("runs")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(runs.runs_text(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_source_mixing")
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document, so that sources share 150 % of all words by weights 5, 2, 1."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
