@@ -337,8 +337,7 @@ FROM texts t LEFT JOIN found f ON f.row = t.row LEFT JOIN best b ON b.row = t.ro
 @query("op12_periodic_runs", OP12_SQL)
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of at least four periods in every whole document, and the text without their repeats."""
-    documents = table(spark, sf_dir, "documents")
-    texts = documents.select("doc_id", runs.made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    texts = runs.made_periodic(table(spark, sf_dir, "documents"))
     found = runs.periodic_runs(texts).withColumn("best", runs.best_run(F.col("runs")))
     return found.select(
         "doc_id",

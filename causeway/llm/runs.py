@@ -241,21 +241,21 @@ def runs_text(runs: Column) -> Column:
     return F.array_join(F.transform(runs, line), "")
 
 
-def made_periodic(doc_id: Column, text: Column) -> Column:
-    """Word-wise: for ids whose CRC-32 ends in 0, the tail repeats its first words.
+def made_periodic(documents: DataFrame) -> DataFrame:
+    """``doc_id, text``: for ids whose CRC-32 ends in 0, the tail of words repeats its first ones.
 
     With h the CRC-32 of the id in decimal, g = h div 10 and n words, the tail begins at
     g mod n and repeats with period 1 + (n - start) div (3 + g mod 8). A null id changes nothing.
     """
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    g = F.floor(h / 10)
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words)
-    start = F.pmod(g, n)
-    period = F.lit(1) + F.floor((n - start) / (3 + F.pmod(g, F.lit(8))))
-
-    def at(i: Column) -> Column:
-        return F.when(i < start, i).otherwise(start + F.pmod(i - start, period)).cast("int")
-
-    picked = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, at(i)))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(picked, " ")).otherwise(text)
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    rows = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    rows = rows.select("*", F.size("words").alias("n"), F.floor(F.col("h") / 10).alias("g"))
+    rows = rows.withColumn("first", F.when(F.col("n") > 0, F.pmod("g", "n")))
+    rows = rows.withColumn("period", 1 + F.floor((F.col("n") - F.col("first")) / (3 + F.pmod("g", F.lit(8)))))
+    n, first, period = F.col("n"), F.col("first"), F.col("period")
+    places = F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.when(i < first, i).otherwise(first + F.pmod(i - first, period)).cast("int")
+    )
+    changed = F.array_join(F.transform(places, lambda i: F.get("words", i)), " ")
+    return rows.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
