@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prompts import REQUIRED_KEYS, check_template
+from .ranges import json_elements, read_quoted_csv
 
 # Columns of the annotated-pair files that are read, by name.
 PAIR_COLUMNS = {
@@ -36,13 +37,10 @@ def whole_number(text: Column) -> Column:
 
 def _pair_cells(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, Column]:
     """The columns that are read, as text, and whether all numbers of a row are numbers."""
-    raw = (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    if multi_line:
+        raw = read_quoted_csv(spark, path)
+    else:
+        raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     fits = F.lit(True)
     for name, kind in PAIR_COLUMNS.items():
         if kind == "bigint":
@@ -53,9 +51,9 @@ def _pair_cells(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataF
 def read_pairs_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Annotated pairs: quoted CSV with a header; other columns are ignored.
 
-    ``multi_line`` allows line breaks in quoted text at the price of one task
-    per file; turn it off for large files without them. Rows with a number that
-    is none are left to `pairs_quarantine`.
+    ``multi_line`` allows line breaks in quoted text: files are still read by byte ranges in
+    many tasks, but scanned three times; turn it off for files without them. Rows with a
+    number that is none are left to `pairs_quarantine`.
     """
     cells, fits = _pair_cells(spark, path, multi_line)
     typed = [
@@ -176,10 +174,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, prefix: str) -> Data
 def read_instances(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Chain instances from JSON documents that hold them in one array each.
 
-    A document is a file, or a line with ``multi_line`` off, which splits well.
+    A document may span lines and be as large as a file: it is read by byte ranges in many
+    tasks. With ``multi_line`` off a document is a line, which needs one scan only.
     """
-    documents = spark.read.schema(INSTANCE_SCHEMA).option("multiLine", multi_line).json(path)
-    return documents.select(F.inline("instances"))
+    if multi_line:
+        element = INSTANCE_SCHEMA.removeprefix("instances array<").removesuffix(">")
+        rows = json_elements(spark, path, "instances")
+        return rows.select(F.from_json("value", element).alias("instance")).select("instance.*")
+    return spark.read.schema(INSTANCE_SCHEMA).json(path).select(F.inline("instances"))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
