@@ -34,14 +34,18 @@ def _placed(rows: DataFrame, name: str) -> DataFrame:
     return joined.select(*rows.columns, place.alias(name))
 
 
+def _ordered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """A distributed sort whose ranges cut through equal keys, too."""
+    return df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order, "_tie")
+
+
 def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
     """Place of every row in ``order``, from 1 to the number of rows.
 
     Null keys stand where the order puts them. Rows with equal keys get different places, in
     the order in which the input happens to hold them. The column ``name`` must be new.
     """
-    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order, "_tie")
-    return _placed(ranged, name).select(*df.columns, name)
+    return _placed(_ordered(df, order), name).select(*df.columns, name)
 
 
 def with_input_position(df: DataFrame, name: str = "position") -> DataFrame:

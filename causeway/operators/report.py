@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import with_position
+
 
 def confusion(df: DataFrame, truth: str, guess: str, by: Sequence[str] = ()) -> DataFrame:
     """Count rows per true and predicted class; everything else derives from this table."""
@@ -104,7 +106,8 @@ def label_scores(table: DataFrame, labels: Sequence, by: Sequence[str] = ()) ->
 def class_recall(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Recall of every class seen as truth or prediction, and its place in sorted order.
 
-    A class never true has recall 0. The window ranks distinct classes only.
+    A class never true has recall 0. Places come from a distributed sort of the distinct
+    classes, so their number is not bounded by a task, with or without ``by``.
     """
     sides = F.array(
         F.struct(
@@ -116,22 +119,37 @@ def class_recall(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             F.col("guess").alias("class"), F.lit(0).cast("bigint").alias("hit"), F.lit(0).cast("bigint").alias("true")
         ),
     )
-    place = Window.partitionBy(*by).orderBy("class")
-    return (
+    classes = (
         table.select(*by, F.inline(sides))
         .groupBy(*by, "class")
         .agg(F.sum("hit").cast("double").alias("hit"), F.sum("true").alias("true"))
-        .select(
-            *by,
-            "class",
-            (F.row_number().over(place) - 1).alias("class_index"),
-            _ratio(F.col("hit"), F.col("true")).alias("recall"),
-        )
     )
+    placed = with_position(classes, [*by, "class"], "_place")
+    index = F.col("_place") - 1
+    if by:
+        named = [F.col(b).alias(f"_{b}") for b in by]
+        firsts = placed.groupBy(*named).agg(F.min("_place").alias("_first"))
+        same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+        placed, index = placed.join(firsts, same), F.col("_place") - F.col("_first")
+    return placed.select(*by, "class", index.alias("class_index"), _ratio(F.col("hit"), F.col("true")).alias("recall"))
+
+
+def report_rows(scores: DataFrame, recalls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A full report as rows ``metric, value``: the scores, and ``accuracy_<i>`` for every class.
+
+    However many classes there are, no cell and no task holds all of them.
+    """
+    names = [c for c in scores.columns if c not in by]
+    listed = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+    named = F.concat(F.lit("accuracy_"), F.col("class_index").cast("string")).alias("metric")
+    return scores.select(*by, F.inline(listed)).unionByName(recalls.select(*by, named, F.col("recall").alias("value")))
 
 
 def with_class_recall(report: DataFrame, recalls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Add the recalls to a report as a map ``accuracy_0``, ``accuracy_1``, ..."""
+    """Add the recalls to a report as a map ``accuracy_0``, ``accuracy_1``, ...
+
+    For reports of one record with few classes; `report_rows` has no such bound.
+    """
     named = F.struct(F.concat(F.lit("accuracy_"), "class_index").alias("key"), F.col("recall"))
     maps = recalls.groupBy(*by).agg(
         F.map_from_entries(F.array_sort(F.collect_list(named))).alias("class_accuracy")

@@ -142,14 +142,22 @@ def class_recall(spark, sf):
 def full_report(spark, sf):
     table = report.confusion(_predictions(spark, sf), "labels", "pred", ["source"])
     scores = report.score(table, ["1"], "binary", ["source"])
-    both = report.with_class_recall(scores, report.class_recall(table, ["source"]), ["source"])
-    places = {
-        f"accuracy_{i}": F.coalesce(
-            F.round(F.try_element_at("class_accuracy", F.lit(f"accuracy_{i}")), 6), F.lit(-1.0)
-        )
-        for i in range(3)
-    }
-    return _rounded(both, _SCORES).withColumns(places).drop("class_accuracy")
+    rows = report.report_rows(scores, report.class_recall(table, ["source"]), ["source"])
+    metrics = [*_SCORES, *(f"accuracy_{i}" for i in range(3))]
+    wide = rows.groupBy("source").agg(*[F.max(F.when(F.col("metric") == m, F.round("value", 6))).alias(m) for m in metrics])
+    return wide.fillna(-1.0, metrics[len(_SCORES) :])
+
+
+@query(
+    "report_rows",
+    f"""{_RECALL}, a AS ({_scores_sql(['1'], 'binary', 'source', 'p')})
+    SELECT source, metric, value FROM (UNPIVOT a ON accuracy, f1, precision, recall INTO NAME metric VALUE value)
+    UNION ALL SELECT source, 'accuracy_' || class_index, recall FROM r""",
+)
+def report_rows(spark, sf):
+    table = report.confusion(_predictions(spark, sf), "labels", "pred", ["source"])
+    scores = report.score(table, ["1"], "binary", ["source"])
+    return _rounded(report.report_rows(scores, report.class_recall(table, ["source"]), ["source"]), ["value"])
 
 
 @query("response_classes", f"{_PRED} SELECT doc_id, t AS labels, g AS pred FROM p")

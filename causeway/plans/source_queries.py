@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import TEMPLATES
 from ..operators import prompting, report
-from ..sources import corpora, readers, rules, scratch, sinks
+from ..sources import corpora, ranges, readers, rules, scratch, sinks
 from . import views
 from .corpus_queries import MERGED_SQL, SEED, documents
 from .registry import query
@@ -135,6 +135,27 @@ def scan_instances(spark, sf):
     )
 
 
+@query("scan_json_elements", f"""WITH {views.INSTANCES_SQL} SELECT doc_id::VARCHAR AS index,
+      array_to_string(parts, '|') AS events, array_to_string(parts[:len(parts) - 1], '|') AS short_contexts, label FROM inst""")
+def scan_json_elements(spark, sf):
+    """Documents that hold an array, read by ranges; what else they hold is skipped."""
+    path = scratch.shared_folder(spark)
+    one = F.struct("index", F.col("parts").alias("events"), "short_contexts", "label")
+    about = F.struct(F.array(F.struct(F.lit("{[").alias("index"))).alias("instances"))
+    rows = views.instances(spark, sf).withColumn("parts", F.transform("events", lambda e: F.replace(e, F.lit("_"), F.lit(" "))))
+    rows.select(about.alias("about"), F.array(one).alias("instances")).write.json(path)
+    rows = readers.read_instances(spark, path)
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("events", "short_contexts")})
+
+
+@query("scan_quoted_csv", "SELECT doc_id::VARCHAR AS doc_id, text, lang FROM documents")
+def scan_quoted_csv(spark, sf):
+    """Whole texts with their line breaks and quotes, read by ranges."""
+    path = scratch.shared_folder(spark)
+    _write_csv(documents(spark, sf).select("doc_id", "text", "lang"), path)
+    return ranges.read_quoted_csv(spark, path)
+
+
 # --- whole corpora ---------------------------------------------------------------
 
 _KEY = "corpus || '|' || doc_id || '|' || sent_id || '|' || example_id || '|' || text || '|' || text_w_pairs"
