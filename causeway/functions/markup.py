@@ -98,6 +98,34 @@ def numbered_span(text: Column, letter: str, number: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, pattern, F.lit(1)), F.lit(1))
 
 
+def spans_by_number(text: Column, letter: str, count: Column) -> Column:
+    """First spans numbered 1 to ``count``, in this order, NULL where one is absent.
+
+    One scan with a fixed pattern finds all spans, nested ones too: what follows an opening tag is
+    only looked at, so the scan goes on right behind the tag.
+    """
+    pattern = F.lit(rf"(?d)<{letter}([1-9][0-9]{{0,8}})>(?=(.*?)</{letter}\1>)")
+    parts = F.struct(
+        F.regexp_extract_all(text, pattern, F.lit(1)).alias("numbers"),
+        F.regexp_extract_all(text, pattern, F.lit(2)).alias("spans"),
+    )
+
+    def entry(n: Column, at: Column, span: Column) -> Column:
+        return F.struct(n.cast("int").alias("n"), at.cast("int").alias("at"), span.alias("span"))
+
+    def ordered(parts: Column) -> Column:
+        found = F.transform(parts["numbers"], lambda n, i: entry(n, i, F.get(parts["spans"], i)))
+        # A last entry for every number, so that none is missing.
+        gaps = F.transform(F.sequence(F.lit(1), count), lambda n: entry(n, F.size(parts["numbers"]), F.lit(None).cast("string")))
+        return F.array_sort(F.concat(F.filter(found, lambda e: e["n"] <= count), gaps))
+
+    def firsts(entries: Column) -> Column:
+        kept = F.filter(entries, lambda e, i: (i == 0) | (F.get(entries, i - 1)["n"] != e["n"]))
+        return F.transform(kept, lambda e: e["span"])
+
+    return F.when(count > 0, let(let(parts, ordered), firsts)).otherwise(F.array().cast("array<string>"))
+
+
 def has_crossing(text: Column) -> Column:
     """Whether any two numbered spans overlap; NULL if a span is malformed.
 

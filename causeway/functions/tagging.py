@@ -95,50 +95,76 @@ def marked_tags(marked: Column, strict: bool = False) -> Column:
     return let(F.split(marked, " "), tags)
 
 
-# Control characters for joining tokens; the first one escapes itself.
-_ESC, _START, _END, _CUT, _KIND = "\x01", "\x01b", "\x01c", "\x01d", "\x01e"
+def _phrase_hits(row: Column) -> Column:
+    """Places at which a phrase stands, with its kind and length; the cause if both do."""
+    tokens = row["tokens"]
 
+    def length_at(i: Column, phrase: Column) -> Column:
+        n = F.size(phrase)
+        # The ends first: most places are out by one comparison, and nothing is copied for them.
+        ends = (F.get(tokens, i) == F.get(phrase, F.lit(0))) & (F.get(tokens, i + n - 1) == F.get(phrase, n - 1))
+        return F.when(ends, F.when(F.slice(tokens, i + 1, n) == phrase, n))
 
-def _encode(tokens: Column) -> Column:
-    """Join tokens so that a substring match is also a match of whole tokens."""
-    return F.array_join(
-        F.transform(
-            tokens,
-            lambda t: F.concat(
-                F.lit(_START), F.replace(t, F.lit(_ESC), F.lit(_ESC + "a")), F.lit(_END)
-            ),
+    def hit(i: Column) -> Column:
+        return F.struct(
+            i.alias("at"), length_at(i, row["cause"]).alias("cause"), length_at(i, row["effect"]).alias("effect")
+        )
+
+    first = lambda phrase: F.get(phrase, F.lit(0))
+    places = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    near = F.filter(places, lambda i: F.get(tokens, i).isin(first(row["cause"]), first(row["effect"])))
+    found = F.filter(F.transform(near, hit), lambda h: h["cause"].isNotNull() | h["effect"].isNotNull())
+    return F.transform(
+        found,
+        lambda h: F.struct(
+            h["at"].alias("at"),
+            F.when(h["cause"].isNotNull(), "C").otherwise("E").alias("kind"),
+            F.coalesce(h["cause"], h["effect"]).alias("length"),
         ),
-        "",
     )
 
 
-def _quoted(tokens: Column) -> Column:
-    """Regex that matches the joined tokens literally; an empty phrase never matches."""
-    literal = F.replace(_encode(tokens), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return F.when(F.size(tokens) > 0, F.concat(F.lit("\\Q"), literal, F.lit("\\E"))).otherwise("(?!)")
-
-
 def phrase_tags(tokens: Column, cause: Column, effect: Column) -> Column:
     """BIO tags from a left-to-right scan for the cause phrase, then the effect phrase.
 
-    All three arguments are token arrays. At each position the cause is tried
-    first, and a match is consumed whole, which is what a regex alternation does.
+    All three arguments are token arrays. At each position the cause is tried first, and a
+    match is consumed whole. A null or empty phrase stands nowhere. Phrases are compared as
+    arrays at the places where their first and last tokens stand.
     """
-    pattern = F.concat(F.lit("("), _quoted(cause), F.lit(")|("), _quoted(effect), F.lit(")"))
-    cut = F.regexp_replace(_encode(tokens), pattern, F.lit(f"{_CUT}$1{_KIND}$2{_CUT}"))
-
-    def piece(text: Column, i: Column) -> Column:
-        # Tokens hold no bare START, so its removal counts them.
-        n = ((F.length(text) - F.length(F.replace(text, F.lit(_START), F.lit("")))) / 2).cast("int")
-        kind = F.when(text.startswith(_KIND), "E").otherwise("C")
-        return F.when(i % 2 == 0, F.array_repeat(F.lit("O"), n)).otherwise(
-            _run(F.concat(F.lit("B-"), kind), F.concat(F.lit("I-"), kind), n)
+    nothing = F.array().cast("array<struct<at: int, kind: string, length: int>>")
+
+    def pick(state: Column, hit: Column) -> Column:
+        taken = F.struct(
+            (hit["at"] + hit["length"]).alias("free"), F.concat(state["picks"], F.array(hit)).alias("picks")
         )
+        return F.when(hit["at"] >= state["free"], taken).otherwise(state)
+
+    def tags(row: Column) -> Column:
+        start = F.struct(F.lit(0).alias("free"), nothing.alias("picks"))
+        picked = F.aggregate(_phrase_hits(row), start, pick, lambda state: state["picks"])
+        return let(F.struct(picked.alias("picks"), F.size(row["tokens"]).alias("n")), lambda r: runs(r["picks"], r["n"]))
+
+    def end(hit: Column) -> Column:
+        return F.coalesce(hit["at"] + hit["length"], F.lit(0))
+
+    def runs(picks: Column, n: Column) -> Column:
+        outside = lambda length: F.array_repeat(F.lit("O"), length)
+        named = F.transform(
+            picks,
+            lambda p, j: F.concat(
+                outside(p["at"] - end(F.get(picks, j - 1))),
+                _run(F.concat(F.lit("B-"), p["kind"]), F.concat(F.lit("I-"), p["kind"]), p["length"]),
+            ),
+        )
+        return F.concat(F.flatten(named), outside(n - end(F.get(picks, F.size(picks) - 1))))
 
-    return F.flatten(F.transform(F.split(cut, _CUT), piece))
+    return let(F.struct(tokens.alias("tokens"), cause.alias("cause"), effect.alias("effect")), tags)
 
 
-_CLOSE_AT, _OPEN_CAUSE_AT, _OPEN_EFFECT_AT = "^</[ce][0-9]*>", "^<c[0-9]*>", "^<e[0-9]*>"
+# What a tag does, as the last digit of its code; the rest of the code is its length.
+_CLOSES, _OPENS_CAUSE, _OPENS_EFFECT = 1, 2, 3
+# Tokens that are tagged before their tags are put behind those of earlier blocks.
+_BLOCK = 64
 
 
 def aligned_tags(tagged: Column, tokens: Column) -> Column:
@@ -146,8 +172,9 @@ def aligned_tags(tagged: Column, tokens: Column) -> Column:
 
     Each token takes its tag from the tags that stand right before it. When the
     tokens add up to the text and tags sit only between tokens, segment numbers
-    per character give the answer in linear time. Other rows take the scan,
-    which consumes the tagged string token by token.
+    per character give the answer. Other rows (nested tags, dropped blanks) take a merge:
+    a place in the tagged string moves over tokens and tags, whose offsets are known, so
+    no rest of the text is copied. Both are linear in the text.
     """
     row = F.struct(tagged.alias("tagged"), tokens.alias("tokens"))
     return let(row, lambda r: _aligned(r["tagged"], r["tokens"]))
@@ -192,26 +219,73 @@ def _aligned(tagged: Column, tokens: Column) -> Column:
         return F.when(F.size(tok) == 0, F.array().cast("array<string>")).otherwise(let(heads, finish))
 
     def by_scan() -> Column:
-        start = F.struct(
-            tagged.alias("left"),
-            F.lit("O").alias("then"),
-            F.array().cast("array<string>").alias("tags"),
-        )
+        def code(mark: Column) -> Column:
+            act = F.when(mark.startswith("</"), _CLOSES).when(mark.startswith("<c"), _OPENS_CAUSE).otherwise(_OPENS_EFFECT)
+            return F.length(mark) * 10 + act
+
+        def codes(parts: Column) -> Column:
+            # The code of a tag at its first character, 0 at every other one.
+            blank = lambda length: F.array_repeat(F.lit(0), length)
+            behind = F.transform(
+                parts["marks"],
+                lambda mark, j: F.concat(
+                    F.array(code(mark)), blank(F.length(mark) - 1), blank(F.length(F.get(parts["segments"], j + 1)))
+                ),
+            )
+            return F.concat(blank(F.length(F.get(parts["segments"], F.lit(0)))), F.flatten(behind))
 
-        def step(state: Column, token: Column) -> Column:
-            opened = F.regexp_replace(state["left"], _CLOSE_AT, "")
-            closed = opened != state["left"]
-            cause, effect = opened.rlike(_OPEN_CAUSE_AT), opened.rlike(_OPEN_EFFECT_AT)
-            rest = F.regexp_replace(opened, f"{_OPEN_CAUSE_AT}|{_OPEN_EFFECT_AT}", "")
+        parts = F.struct(
+            F.split(tagged, SPAN_TAG).alias("segments"),
+            F.regexp_extract_all(tagged, F.lit(f"({SPAN_TAG})"), F.lit(1)).alias("marks"),
+        )
+        lengths = F.transform(tokens, F.length)
+        both = F.struct(let(parts, codes).alias("codes"), lengths.alias("lengths"))
+        return let(both, lambda r: merged(r["codes"], r["lengths"]))
+
+    def merged(codes: Column, lengths: Column) -> Column:
+        def step(state: Column, length: Column) -> Column:
+            first = F.coalesce(F.get(codes, state["at"]), F.lit(0))
+            return let(F.struct(state.alias("s"), first.alias("first")), lambda r: close(r["s"], r["first"], length))
+
+        def close(state: Column, first: Column, length: Column) -> Column:
+            closed = first % 10 == _CLOSES
+            at = state["at"] + F.when(closed, F.floor(first / 10).cast("int")).otherwise(0)
             carried = F.when(closed, "O").otherwise(state["then"])
-            now = F.when(cause, "B-C").when(effect, "B-E").otherwise(carried)
+            after = F.struct(
+                at.alias("at"), F.coalesce(F.get(codes, at), F.lit(0)).alias("next"), carried.alias("then"),
+                state["tags"].alias("tags"),
+            )
+            return let(after, lambda r: enter(r, length))
+
+        def enter(after: Column, length: Column) -> Column:
+            act = after["next"] % 10
+            opened = act.isin(_OPENS_CAUSE, _OPENS_EFFECT)
+            skipped = F.when(opened, F.floor(after["next"] / 10).cast("int")).otherwise(0)
+            kind = F.when(act == _OPENS_CAUSE, "C").otherwise("E")
             return F.struct(
-                F.substring(rest, F.length(token) + 1, F.length(rest)).alias("left"),
-                F.when(cause, "I-C").when(effect, "I-E").otherwise(carried).alias("then"),
-                F.concat(state["tags"], F.array(now)).alias("tags"),
+                (after["at"] + skipped + length).alias("at"),
+                F.when(opened, F.concat(F.lit("I-"), kind)).otherwise(after["then"]).alias("then"),
+                F.concat(
+                    after["tags"], F.array(F.when(opened, F.concat(F.lit("B-"), kind)).otherwise(after["then"]))
+                ).alias("tags"),
+            )
+
+        none = F.array().cast("array<string>")
+
+        def block(state: Column, first: Column) -> Column:
+            start = F.struct(state["at"].alias("at"), state["then"].alias("then"), none.alias("tags"))
+            return let(
+                F.aggregate(F.slice(lengths, first + 1, F.lit(_BLOCK)), start, step),
+                lambda done: F.struct(
+                    done["at"].alias("at"),
+                    done["then"].alias("then"),
+                    F.concat(state["blocks"], F.array(done["tags"])).alias("blocks"),
+                ),
             )
 
-        return F.aggregate(tokens, start, step, lambda state: state["tags"])
+        start = F.struct(F.lit(0).alias("at"), F.lit("O").alias("then"), F.array().cast("array<array<string>>").alias("blocks"))
+        firsts = F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(_BLOCK))
+        return F.flatten(F.aggregate(firsts, start, block, lambda state: state["blocks"]))
 
     simple = (
         (F.array_join(tokens, "") == untag(tagged))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import numbered_span
@@ -20,12 +24,58 @@ def filter_num_causal(df: DataFrame, mode: str, keys: list[str] = GROUP_KEY) ->
     return sized.where(chosen).drop("_relations")
 
 
-def _wrap(text: Column, span: Column, letter: str, number: Column) -> Column:
-    """Tag every occurrence of the span; NULL if it does not occur."""
-    n = number.cast("string")
-    tagged = F.concat(F.lit(f"<{letter}"), n, F.lit(">"), span, F.lit(f"</{letter}"), n, F.lit(">"))
-    everywhere = F.regexp_replace(text, F.lit(""), tagged)
-    return F.when(text.contains(span), F.when(span == "", everywhere).otherwise(F.replace(text, span, tagged)))
+def _wrap(text: str | None, span: str | None, letter: str, number: int) -> str | None:
+    """Tag every occurrence of the span; None if it does not occur."""
+    if text is None or span is None or span not in text:
+        return None
+    return text.replace(span, f"<{letter}{number}>{span}</{letter}{number}>")
+
+
+def _merge_sorted(keys: list[str], least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fold of rows that come sorted by group; the state is one text and the group's first row."""
+
+    def changes(batch: pa.RecordBatch, before: pa.RecordBatch | None) -> np.ndarray:
+        """Whether each row begins a group."""
+        new = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            column = batch.column(key)
+            new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            if before is not None:
+                new[0] |= bool(column[0] != before.column(key)[0])
+        new[0] |= before is None
+        return new
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, text, number = None, None, 0
+
+        def finished(rows: list[pa.RecordBatch], texts: list[str]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(rows).combine_chunks().drop_columns(["_cause", "_effect"])
+            at = table.schema.get_field_index("tagged_text")
+            table = table.set_column(at, "tagged_text", pa.array(texts, pa.string()))
+            return table.to_batches()[0]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, texts = [], []
+            columns = [batch.column(c) for c in ("text", "_cause", "_effect")]
+            begins = changes(batch, first)
+            for i in range(batch.num_rows):
+                if begins[i]:
+                    if text is not None and number >= least:
+                        rows.append(first)
+                        texts.append(text)
+                    first, text, number = batch.slice(i, 1), columns[0][i].as_py(), 0
+                number += 1
+                if text is not None:
+                    text = _wrap(text, columns[1][i].as_py(), "c", number)
+                    text = _wrap(text, columns[2][i].as_py(), "e", number)
+            if rows:
+                yield finished(rows, texts)
+        if text is not None and number >= least:
+            yield finished([first], [text])
+
+    return work
 
 
 def merge_causal_groups(
@@ -39,9 +89,8 @@ def merge_causal_groups(
     sentences with fewer than ``least`` relations; `malformed_relations` tells
     which rows have no markup at all. Other columns come from the first relation.
 
-    One aggregation counts and collects. The fold is ordered and its result is
-    one cell, so the relations of one sentence are one array in one task; rows
-    without markup in common travel as spans, not as tagged texts.
+    Rows are sorted by group and order, which spills, and folded as they stream by, so
+    a task holds one text, however many relations a sentence has.
     """
     named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     relations = df.where(named).withColumns(
@@ -50,37 +99,9 @@ def merge_causal_groups(
             "_effect": numbered_span(F.col("tagged_text"), "e", F.lit("")),
         }
     )
-    others = [c for c in df.columns if c not in keys and c != "tagged_text"]
     # Rows that agree on the order column are told apart by their markup.
-    rank = F.struct(order, "tagged_text")
-    fold = F.aggregate(
-        "_list",
-        F.col("_first.text"),
-        lambda text, r: _wrap(_wrap(text, r["cause"], "c", r["n"]), r["effect"], "e", r["n"]),
-    )
-    merged = (
-        relations.groupBy(*keys)
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.col(order).alias("order"),
-                        F.col("tagged_text").alias("tagged"),
-                        F.col("_cause").alias("cause"),
-                        F.col("_effect").alias("effect"),
-                    )
-                )
-            ).alias("_sorted"),
-            F.min_by(F.struct(*others), rank).alias("_first"),
-        )
-        .where(F.size("_sorted") >= least)
-        .withColumn(
-            "_list",
-            F.transform("_sorted", lambda r, i: F.struct((i + 1).alias("n"), r["cause"], r["effect"])),
-        )
-        .select(*keys, "_first.*", fold.alias("tagged_text"))
-    )
-    return merged.where("tagged_text IS NOT NULL").select(*df.columns)
+    streamed = relations.repartition(*keys).sortWithinPartitions(*keys, order, "tagged_text")
+    return streamed.mapInArrow(_merge_sorted(keys, least), df.schema)
 
 
 def malformed_relations(df: DataFrame) -> DataFrame:

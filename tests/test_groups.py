@@ -239,3 +239,30 @@ def test_ids(spark):
         filters.make_id("reco", F.col("b"), F.lit(0)).alias("m"),
     ).first()
     assert (got.d, got.n, got.m) == (2105, None, "reco_3_0")
+
+
+def test_a_group_of_many_relations_streams_by(spark):
+    """600 relations of one sentence, over several Arrow batches, between small groups."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        rows = [("a", 1, 0, "x y", "<c>x</c> <e>y</e>"), ("z", 1, 0, "x y", "<c>x</c> <e>y</e>")]
+        rows += [("m", 1, i, "p q", "<c>p</c> <e>q</e>") for i in range(3)]
+        rows += [("n", 1, i, "p q", "<c>p</c> <e>gone</e>") for i in range(2)]
+        names = [f"w{i:05}" for i in range(300)]
+        text = " ".join(names)
+        long = [("long", 1, i, text, f"<c>{names[i % 300]}</c> <e>{names[(i * 7 + 1) % 300]}</e>") for i in range(600)]
+        frame = spark.createDataFrame(rows + long, "doc_id string, sent_id int, example_id int, text string, tagged_text string")
+        frame = frame.withColumn("corpus", F.lit("k")).repartition(5)
+        got = {r.doc_id: r for r in groups.merge_causal_groups(frame).collect()}
+        want = text
+        for i in range(600):
+            for letter, word in (("c", names[i % 300]), ("e", names[(i * 7 + 1) % 300])):
+                want = want.replace(word, f"<{letter}{i + 1}>{word}</{letter}{i + 1}>")
+        assert got["long"].tagged_text == want and got["long"].example_id == 0
+        assert got["a"].tagged_text == "<c1>x</c1> <e1>y</e1>" and "n" not in got
+        assert got["m"].tagged_text == "<c1><c2><c3>p</c3></c2></c1> <e1><e2><e3>q</e3></e2></e1>"
+        multi = {r.doc_id for r in groups.merge_causal_groups(frame, least=2).collect()}
+        assert multi == {"m", "long"}
+        assert "collect_list" not in groups.merge_causal_groups(frame)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
