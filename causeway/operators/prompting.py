@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.markup import bracketed_spans
 from ..functions.parsing import (
@@ -18,6 +21,8 @@ from ..functions.parsing import (
     word_response,
 )
 from ..functions.prompts import SHOTS, answer_text, question_text
+from ..sources.scratch import shared_folder
+from .ranking import with_input_position, with_position
 
 
 def shot_block(
@@ -84,6 +89,82 @@ def pair_predictions(predictions: DataFrame, references: DataFrame, keys: list[s
     return references.join(predictions, keys)
 
 
+def pair_by_position(
+    predictions: DataFrame, references: DataFrame, order: Sequence[str] | None = None
+) -> DataFrame:
+    """Row n of ``references`` beside row n of ``predictions``, for tables without common keys.
+
+    Places are those of the frames' own row order, or of ``order`` (columns that both have).
+    They come from the sizes of partitions, so neither table passes through one task. Rows
+    beyond the shorter table's end are left out. Columns that both have are the references'.
+    """
+
+    def placed(df: DataFrame) -> DataFrame:
+        return with_position(df, order, "_place") if order else with_input_position(df, "_place")
+
+    own = placed(predictions)
+    own = own.select("_place", *[c for c in predictions.columns if c not in references.columns])
+    return placed(references).join(own, "_place").drop("_place")
+
+
+# --- scoring that goes on where it stopped -----------------------------------------
+
+
+def _resume_key(keys: Sequence[str], prompt: str) -> Column:
+    """A prompt under other keys, or another prompt under the same, is scored anew."""
+    return F.xxhash64(*keys, prompt)
+
+
+def finished_outputs(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """Outputs of the rounds that the manifest names; those of a round that broke off are not read."""
+    manifest = f"{folder}/manifest"
+    path = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return spark.createDataFrame([], schema)
+    # One row for each round that was ever finished.
+    rounds = [r.round for r in spark.read.schema("round string").json(manifest).collect()]
+    paths = [f"{folder}/outputs/{name}" for name in rounds]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def score_resumed(
+    df: DataFrame,
+    scorer: Callable[[pd.Series], pd.Series],
+    keys: Sequence[str],
+    folder: str,
+    rounds: int = 16,
+    prompt: str = "prompt",
+    stop_after: int | None = None,
+) -> DataFrame:
+    """`score_prompts` whose outputs are kept in ``folder``, a part of the keys at a time.
+
+    Keys are dealt into ``rounds`` buckets by hash, each scored over the whole cluster and
+    written; then the bucket's folder is entered in a manifest. If a scorer dies, a later call finds
+    the finished ones there and leaves their prompts out by an anti join, so at most the
+    prompts of one bucket are sent twice. Rows that agree on keys and prompt are sent once.
+    ``stop_after`` ends a run after so many buckets; rows of the others have no output then.
+    """
+    spark = df.sparkSession
+    names = list(dict.fromkeys([*keys, prompt]))
+    asked = df.select(*names).dropDuplicates(names).withColumn("_resume", _resume_key(keys, prompt))
+    schema = StructType([*asked.schema.fields, StructField("output", StringType())])
+    same = reduce(lambda a, b: a & b, [F.col(f"asked.{c}").eqNullSafe(F.col(f"done.{c}")) for c in ("_resume", *names)])
+    done = finished_outputs(spark, folder, schema).alias("done")
+    left = asked.alias("asked").join(done, same, "left_anti")
+    waiting = shared_folder(spark)
+    left.withColumn("_bucket", F.pmod("_resume", F.lit(rounds))).write.partitionBy("_bucket").parquet(waiting)
+    waiting = spark.read.schema(StructType([*asked.schema.fields, StructField("_bucket", LongType())])).parquet(waiting)
+    buckets = sorted(r[0] for r in waiting.select("_bucket").distinct().collect())
+    for bucket in buckets[:stop_after]:
+        name = f"{uuid.uuid4().hex}-{bucket}"
+        own = waiting.where(F.col("_bucket") == bucket).drop("_bucket")
+        score_prompts(own, scorer, prompt).write.parquet(f"{folder}/outputs/{name}")
+        spark.createDataFrame([(name,)], "round string").coalesce(1).write.mode("append").json(f"{folder}/manifest")
+    done = finished_outputs(spark, folder, schema).select("*").withColumnsRenamed({c: f"_{c}" for c in names})
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
+    return df.join(done, match, "left").select(*df.columns, "output")
+
+
 def class_predictions(df: DataFrame) -> DataFrame:
     """Labels as strings beside the class read from the output."""
     return df.withColumns(

@@ -123,16 +123,19 @@ def evaluate_prompts(
     test_samples: int | None = None,
     by_word: bool = False,
     template_name: str = "",
+    multi_line: bool = True,
+    resume_dir: str | None = None,
 ) -> DataFrame:
     """Load a corpus, prompt a scorer, and write its outputs, predictions and report.
 
     Outputs are written before they are read by both sinks, so the scorer sees
-    each prompt once, whatever is recomputed later.
+    each prompt once, whatever is recomputed later. With ``resume_dir`` they are kept there by
+    parts, and a run that broke off goes on with the prompts that have no output yet.
     """
     check_pair(corpus, task)
     options = resolve_filters(corpus, num_sent=num_sent, num_causal=num_causal, plicit=plicit)
     rows = corpora.load_data(
-        spark, task, corpus, data_dir, test_samples=test_samples, seed=seed, **options
+        spark, task, corpus, data_dir, test_samples=test_samples, seed=seed, multi_line=multi_line, **options
     )
     run = {
         "task": task,
@@ -143,7 +146,11 @@ def evaluate_prompts(
     }
     prompts = build_prompts(rows, task, template, shot, seed, by_word)
     outputs = os.path.join(output_dir, "outputs", *run.values())
-    prompting.score_prompts(prompts, scorer).write.mode("overwrite").parquet(outputs)
+    if resume_dir is None:
+        scored = prompting.score_prompts(prompts, scorer)
+    else:
+        scored = prompting.score_resumed(prompts, scorer, [], os.path.join(resume_dir, *run.values()))
+    scored.write.mode("overwrite").parquet(outputs)
     predictions = read_outputs(spark.read.parquet(outputs), task, template, by_word)
     scores = filters.with_metadata(
         prompt_report(predictions, task, by_word),

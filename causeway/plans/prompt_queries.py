@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import TEMPLATES
 from ..operators import chains, filters, prompting, splits
+from ..sources import scratch
 from . import views
 from .corpus_queries import SEED, documents, span_rows, tagged_rows
 from .registry import query
@@ -163,3 +164,34 @@ def scored_prompts(spark, sf):
 
     scored = prompting.class_predictions(prompting.score_prompts(prompts, scorer))
     return scored.select("doc_id", "sent_id", "example_id", "pred")
+
+
+@query(
+    "resumed_prompts",
+    f"""{_SPAN_DATA} SELECT doc_id, sent_id, example_id, CASE WHEN contains(text, ' leads to ') THEN '1' ELSE '0' END AS pred
+    FROM test""",
+)
+def resumed_prompts(spark, sf):
+    """A run that ends half-way, and a second one that gets only what is left."""
+    rows, _ = _test_and_shots(span_rows(spark, sf), 1)
+    prompts = prompting.render_prompts(
+        rows.select("doc_id", "sent_id", "example_id", "text", F.lit("1").alias("labels")), _CLASS, "class"
+    )
+    folder, keys = scratch.shared_folder(spark), ["doc_id", "sent_id", "example_id"]
+
+    def right(batch):
+        return "Classification: N" + batch.str.contains(" leads to ", regex=False).astype(int).astype(str)
+
+    # The first run ends after half of its buckets, as if the service had gone.
+    prompting.score_resumed(prompts, right, keys, folder, rounds=4, stop_after=2)
+    return prompting.class_predictions(prompting.score_resumed(prompts, right, keys, folder, rounds=4)).select(*keys, "pred")
+
+
+@query(
+    "paired_by_position",
+    f"WITH {views.CLASS_RESPONSES_SQL} SELECT doc_id, labels, output FROM preds",
+)
+def paired_by_position(spark, sf):
+    """Two tables in the same order, one of which has no key."""
+    rows = views.class_responses(spark, sf).orderBy("doc_id")
+    return prompting.pair_by_position(rows.select("output"), rows.select("doc_id", "labels"))

@@ -238,8 +238,8 @@ def load_corpus(
     Filters touch the test part only. ``tokenizer`` is a column function used
     where a corpus gives plain text instead of marked tokens. ``multi_line``
     reads CSV with line breaks in quotes, and JSON documents over several lines,
-    by one task per file; turn it off for large files without them. What a
-    corpus holds but can't be used is in `load_quarantine`.
+    by byte ranges that are scanned several times; turn it off for files without them.
+    What a corpus holds but can't be used is in `load_quarantine`.
     """
     check_pair(corpus, task)
     options = (data_dir, num_sent, num_causal, plicit, seed, tokenizer, multi_line)
