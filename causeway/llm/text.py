@@ -7,7 +7,9 @@ bytes of one kind, and bytes of kind 0 separate tokens. A token's fingerprint is
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 20  # bytes that are scanned at once
-GROUP = 1 << 21  # bytes of text that are held as tokens at once, one text at least
+GROUP = 1 << 19  # bytes of text that are held as tokens at once, one text at least
+LARGE = 1 << 22  # bytes from which an array is a mapping of its own, which its end gives back
 
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -47,9 +50,6 @@ _LETTERS = [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]
 _BLANKS = [9, 10, 11, 12, 13, 32]
 #: Lower-cased runs of ASCII letters, digits and anything beyond ASCII.
 ALNUM = _alphabet({1: _LETTERS}, lower=True)
-#: The same with every digit a 0.
-PLAIN = _alphabet({1: _LETTERS}, lower=True)
-PLAIN.fold[48:58] = 48
 #: Lower-cased runs of anything but ASCII white space.
 SOLID = _alphabet({1: [b for b in range(256) if b not in _BLANKS]}, lower=True)
 #: Words as written, and runs of punctuation as tokens of their own.
@@ -81,6 +81,37 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+@lru_cache(maxsize=1)
+def _allocator() -> ctypes.CDLL | None:
+    """The C library, told to keep no large freed blocks; None where it is another one."""
+    try:
+        library = ctypes.CDLL("libc.so.6")
+        library.mallopt(-3, LARGE)  # M_MMAP_THRESHOLD
+        return library
+    except (OSError, AttributeError):
+        return None
+
+
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(work: Work) -> Work:
+    """A task's work that leaves no memory behind in a worker, which goes on to other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = _allocator()
+        try:
+            yield from work(batches)
+        finally:
+            _powers.cache_clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if library is not None:
+                library.malloc_trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (a bijection)."""
     x = x ^ (x >> np.uint64(30))
