@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from causeway.llm.tables import written
+from causeway.llm.text import lean
 
 BLOCK = 1024  # nodes of a block of a family, about
 FEW = 100_000  # large families, of 16 bytes each, that are broadcast
@@ -70,6 +71,7 @@ def _links(units: DataFrame, linker: Linker) -> DataFrame:
     """Links of each unit: nodes ``a, b``. A task holds one unit at a time."""
     names = units.columns
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         key = None

@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from causeway.llm.fmindex import FmIndex
 from causeway.llm.tables import written
-from causeway.llm.text import ALNUM, Tokens, grouped, list_array, tokens_of
+from causeway.llm.text import ALNUM, Tokens, grouped, lean, list_array, tokens_of
 
 WINDOW = 10  # words of a phrase
 BLOCK_CHARS = 8_000_000  # benchmark text that is shipped to tasks at once, one item at least
@@ -161,6 +161,7 @@ def find_contamination(
 def _pass(phrases: Phrases, place: int, kept: int, is_first: bool):
     """Search one block of the benchmark; later passes add to the columns of earlier ones."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = batch.column(place).to_pylist()
@@ -234,6 +235,7 @@ def remove_contamination(
 
 
 def _cut(phrases: Phrases, place: int, kept: int):
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = batch.column(place).to_pylist()

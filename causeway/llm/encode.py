@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from causeway.llm.pieces import BLANK, Vocabulary
-from causeway.llm.text import grouped, list_array
+from causeway.llm.text import grouped, lean, list_array
 
 REMEMBERED = 400_000  # stretches a task remembers; longer ones than LONGEST are not
 LONGEST = 64
@@ -169,6 +169,7 @@ def encode_texts(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
     kept = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
     place = [f.name for f in kept].index(text_col)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, decode = encoder(vocabulary), decoder(vocabulary)
         for batch in batches:
@@ -194,6 +195,7 @@ def decode_ids(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", into
     kept = [f for f in df.schema.fields if f.name != into]
     place = [f.name for f in kept].index(ids_col)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = decoder(vocabulary)
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from causeway.llm.components import BLOCK, Forest, components, family_components
 from causeway.llm.tables import row_key, written
-from causeway.llm.text import SOLID, Alphabet, distinct_sets, grouped, list_array, mix, tokens_of
+from causeway.llm.text import SOLID, Alphabet, distinct_sets, grouped, lean, list_array, mix, tokens_of
 
 WORDS = 64  # 64-bit words of a bitmap
 FANOUT = 8
@@ -297,6 +297,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         for first, last in grouped(whole):
             yield first, last, distinct_sets(tokens_of(whole[first:last], alphabet), width)
 
+    @lean
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, sets in sets_of(batch, 1):
@@ -310,6 +311,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
                     names=["id", "row", "n_shingles", "node"],
                 )
 
+    @lean
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
@@ -327,6 +329,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     families = written(components(written(shared.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())))
     bitmap = bloom(families.select("node"))
 
+    @lean
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, sets in sets_of(batch, 0):

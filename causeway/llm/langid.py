@@ -8,7 +8,6 @@ weighted by their bytes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,10 @@ BATCH = 64
 BLANK = 256  # the byte number that fills a window up
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def _has_letter(text: str) -> bool:
+    """Any character of category L, which is what the training rows are chosen by, too."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -199,7 +201,7 @@ def predict_languages(docs: DataFrame, network: Network | None, text_col: str =
         for batch in batches:
             texts = batch.column(place).to_pylist()
             languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            telling = [i for i, t in enumerate(texts) if t and network and _LETTER.search(t)]
+            telling = [i for i, t in enumerate(texts) if t and network and _has_letter(t)]
             held: list[int] = []
             size = 0
             for n, i in enumerate(telling):

@@ -21,12 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from causeway.llm.tables import written
-from causeway.llm.text import MARKED, Tokens, grouped, mix, tokens_of
+from causeway.llm.text import MARKED, Tokens, grouped, lean, mix, tokens_of
 
 BUCKETS = 1 << 17
 SLICE = 1 << 12  # buckets whose counts travel as one row
@@ -36,7 +36,6 @@ PRIOR = 5.0  # documents, or occurrences, as in all text that every bucket of a
 STYLE_SURE = 3.0  # standard deviations by which a bucket must differ to count for the style
 WORDING_SURE = 4.5  # the same for the wording
 WORDING_RATIO = 4.0  # a toxic word is in at least so many times as many texts as in target text
-REJECTED = 1e9  # rows of weight below 1 rank below all others
 SPLITS = 4096
 
 
@@ -177,6 +176,7 @@ def labelled_kinds(labels: DataFrame, sample: int) -> tuple[DataFrame, np.ndarra
 def _without_copies(sampled: DataFrame) -> DataFrame:
     """One id for each kind and sketch: a group of copies must not make its words typical."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -203,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     marked = texts.join(F.broadcast(kinds), "doc_id", "left").join(F.broadcast(single), "doc_id", "left")
     marked = marked.select("text", "kind", F.coalesce("single", F.lit(False)).alias("single"))
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {name: np.zeros(BUCKETS, np.int64) for name in COUNTED}
         sampled = np.zeros(len(KINDS), np.int64)
@@ -231,6 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         places = [i * BUCKETS + k for i in range(len(total)) for k in range(0, BUCKETS, SLICE)]
         yield _slices([*places, -1], [*[part for _, part in rows], sampled])
 
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -259,15 +261,12 @@ def _slices(places: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def score(docs: DataFrame, model: Model | None, seed: int = 0) -> DataFrame:
-    """Every row with its ``log_weight`` and the ``draw`` that ranks it: weight plus Gumbel noise.
-
-    Rows of weight below 1, which are likelier under the raw text's model than under the
-    target's, are rejected: they rank below all others.
-    """
+    """Every row with its ``log_weight`` and the ``draw`` that ranks it: weight plus Gumbel noise."""
     kept = [f for f in docs.schema.fields if f.name not in ("log_weight", "draw", "drawn")]
     place = [f.name for f in kept].index("text")
     added = StructField("log_weight", DoubleType())
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).to_pylist()
@@ -279,8 +278,7 @@ def score(docs: DataFrame, model: Model | None, seed: int = 0) -> DataFrame:
     rows = docs.select(*[f.name for f in kept]).mapInArrow(work, StructType([*kept, added]))
     # 52 bits of the row's hash as a number within 0 and 1
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
-    draw = F.col("log_weight") - F.log(-F.log(uniform))
-    return rows.withColumn("draw", F.when(F.col("log_weight") >= 0, draw).otherwise(draw - F.lit(REJECTED)))
+    return rows.withColumn("draw", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
 def kth_largest(numbers: DataFrame, column: str, k: int) -> float:
@@ -313,29 +311,32 @@ def kth_largest(numbers: DataFrame, column: str, k: int) -> float:
     return low
 
 
+def _cut(draws: DataFrame, k: int) -> Column:
+    """Whether a row is among the ``k`` largest draws."""
+    rows = draws.count()
+    if k <= 0 or not rows:
+        return F.lit(False)
+    return F.lit(True) if k >= rows else F.col("draw") >= F.lit(kth_largest(draws, "draw", k))
+
+
 def resample(
-    docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = SAMPLE, seed: int = 0
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` (with ``doc_id`` and ``text``) scored, and a small table of the draws.
+    docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = SAMPLE, seed: int = 0, texts: bool = False
+) -> DataFrame:
+    """Rows of ``docs`` (with ``doc_id`` and ``text``) scored and drawn; without their texts unless ``texts``.
 
     Added are ``log_weight``, ``draw`` and ``drawn``: whether the row is among the ``k``
-    largest draws; they replace columns of the same names. By default ``k`` is the number of
-    rows that are not rejected, so these are drawn and no others. The models are fitted on all documents and on about
+    largest draws; they replace columns of the same names. So rows are drawn without replacement,
+    in proportion to their weights. By default ``k`` is the number of rows of weight 1
+    or more, which are likelier under the target's model than under the raw text's; the draw decides
+    which of them give way to others. The models are fitted on all documents and on about
     ``sample`` labelled ones of each kind, or all if there are fewer.
 
     A null or empty text has no n-grams and weight 1. Repeated rows have equal draws: all
     rows whose draw equals the k-th largest are drawn. Without target labels every weight
-    is 1 and, by default, all rows are drawn. Empty tables give empty results.
+    is 1 and, by default, all rows are drawn. Empty tables give empty results. Every text is
+    scored once; the scored rows are written to the shared folder.
     """
     model = fit(docs, labels, sample)
-    draws = written(score(docs.select("doc_id", "text"), model, seed).drop("text"))
-    if k is None:
-        k = draws.where("log_weight >= 0").count()
-    rows = draws.count()
-    if k <= 0 or not rows:
-        drawn = F.lit(False)
-    elif k >= rows:
-        drawn = F.lit(True)
-    else:
-        drawn = F.col("draw") >= F.lit(kth_largest(draws, "draw", k))
-    return score(docs, model, seed).withColumn("drawn", drawn), draws.withColumn("drawn", drawn)
+    scored = score(docs if texts else docs.select("doc_id", "text"), model, seed)
+    draws = written(scored if texts else scored.drop("text"))
+    return draws.withColumn("drawn", _cut(draws, draws.where("log_weight >= 0").count() if k is None else k))

@@ -166,7 +166,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log weight, draw and decision of every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.resample(documents, table(spark, sf_dir, "labels"))[1]
+    return quality.resample(documents, table(spark, sf_dir, "labels"))
 
 
 @query("op2_language_id")

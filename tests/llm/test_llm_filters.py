@@ -39,19 +39,56 @@ def test_quality_tells_kinds_apart(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _, _ in rows] + [(None, None, 1.0), (9000, "", 1.0), (0, rows[0][1], 0.5)], "doc_id long, text string, draw double")
     seen = [(i, q, t) for i, _, q, t in rows if i % 2] + [(None, 0, 1), (3, None, None), (9999, 1, 0)]
     labels = spark.createDataFrame(seen, "doc_id long, quality int, toxic int")
-    scored, draws = quality.resample(docs, labels)
+    scored = quality.resample(docs, labels, texts=True)
     assert scored.columns == ["doc_id", "text", "log_weight", "draw", "drawn"]
     got = {r.doc_id: r for r in scored.collect()}
-    assert scored.count() == draws.count() == len(rows) + 3
+    assert scored.count() == quality.resample(docs, labels).count() == len(rows) + 3
     held = [(i, q == 1 and t == 0) for i, _, q, t in rows if not i % 2]
     assert np.mean([got[i].drawn == good for i, good in held]) > 0.97
     assert np.mean([got[i].drawn for i, good in held if good]) > 0.98
-    assert got[None].drawn and got[9000].log_weight >= 0
-    few = quality.resample(docs, labels, k=50)[1].where("drawn")
+    assert got[None].log_weight == got[9000].log_weight == 0
+    few = quality.resample(docs, labels, k=50).where("drawn")
     assert 50 <= few.count() <= 51 and few.where("log_weight < 0").count() == 0
-    assert quality.resample(docs, labels.limit(0))[1].where("NOT drawn").count() == 0
-    assert quality.resample(docs.limit(0), labels)[0].count() == 0
-    assert quality.resample(docs, labels, k=0)[1].where("drawn").count() == 0
+    assert quality.resample(docs, labels.limit(0)).where("NOT drawn").count() == 0
+    assert quality.resample(docs.limit(0), labels, texts=True).count() == 0
+    assert quality.resample(docs, labels, k=0).where("drawn").count() == 0
+
+
+def test_weights_and_draws_are_recomputed(spark):
+    """Weights from the model's tables by a plain loop, draws from a sort of all rows."""
+    rows = corpus(random.Random(4), 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    scored = {r.doc_id: r for r in quality.resample(docs, labels, texts=True).collect()}
+    for i, text, _, _ in rows:
+        grams = quality.Grams.of([text])
+        style = sum(model.style[b] * n for b, n in zip(grams.bucket, grams.times))
+        wording = sum(min(model.wording[0][a], model.wording[1][b]) for a, b in zip(*grams.words))
+        share = model.shares
+        most = max(0.0, style, wording)  # keeps the powers in range
+        raw = share[0] * np.exp(-most) + share[1] * np.exp(style - most) + share[2] * np.exp(wording - most)
+        assert np.isclose(scored[i].log_weight, -np.log(raw) - most, atol=1e-9)
+    expected = sum(r.log_weight >= 0 for r in scored.values())
+    ranked = sorted(scored.values(), key=lambda r: -r.draw)
+    assert {r.doc_id for r in ranked[:expected]} == {i for i, r in scored.items() if r.drawn}
+    # Noise decides: half of the rows are not the half of the largest weights, and another seed draws others.
+    half = [{r.doc_id for r in quality.resample(docs, labels, k=150, seed=s).where("drawn").collect()} for s in (0, 1)]
+    heaviest = sorted(scored.values(), key=lambda r: -r.log_weight)[:150]
+    assert half[0] != half[1] and half[0] != {r.doc_id for r in heaviest}
+    assert all(abs(len(h) - 150) <= 1 for h in half)
+
+
+def test_draws_follow_the_weights(spark):
+    """Of two kinds of rows, drawn without replacement, shares are those of a simulation."""
+    weights = np.array([0.0] * 500 + [-2.0] * 500)
+    frame = spark.createDataFrame([(i, "", float(w)) for i, w in enumerate(weights)], "doc_id long, text string, log_weight double")
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(0), "doc_id", "text"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+    draws = frame.withColumn("draw", F.col("log_weight") - F.log(-F.log(uniform)))
+    got = draws.where(quality._cut(draws, 300)).where("log_weight = 0").count()
+    rng = np.random.default_rng(3)
+    simulated = [np.sum(rng.choice(1000, 300, replace=False, p=np.exp(weights) / np.exp(weights).sum()) < 500) for _ in range(200)]
+    assert abs(got - np.mean(simulated)) < 5 * np.std(simulated)
 
 
 def test_kth_largest(spark):
