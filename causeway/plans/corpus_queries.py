@@ -612,17 +612,19 @@ def union_all(spark, sf):
 
 @query(
     "cross_corpus",
-    f"""WITH s AS (SELECT *, CASE WHEN rank <= n - ceil(n / 5) THEN 'train'
+    f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang FROM documents),
+    s AS (SELECT *, CASE WHEN rank <= n - ceil(n / 5) THEN 'train'
         WHEN rank <= n - ceil(ceil(n / 5) / 2) THEN 'valid' ELSE 'test' END AS split FROM (
       SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('{SEED}|' || doc_id), doc_id) AS rank,
-        count(*) OVER (PARTITION BY lang) AS n FROM documents))
-    SELECT doc_id, lang, split, p.trained FROM s JOIN (VALUES ('en', 'de'), ('de', 'es'), ('es', 'fr'), ('fr', 'en')) p(trained, tested)
+        count(*) OVER (PARTITION BY lang) AS n FROM d)),
+    p AS (SELECT lang AS trained, coalesce(lead(lang) OVER (ORDER BY lang), min(lang) OVER ()) AS tested FROM (SELECT DISTINCT lang FROM d))
+    SELECT doc_id, lang, split, p.trained FROM s JOIN p
       ON (lang = trained AND split <> 'test') OR (lang = tested AND split = 'test')""",
 )
 def cross_corpus(spark, sf):
-    """Each language with the test rows of the next one."""
-    docs = documents(spark, sf).select("doc_id", "lang")
-    languages = ("en", "de", "es", "fr")
+    """Each language with the test rows of the next one; a null language is one, too."""
+    docs = documents(spark, sf).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
+    languages = sorted(r.lang for r in docs.select("lang").distinct().collect())
     parts = [splits.split_80_10_10(docs.where(F.col("lang") == lang), SEED, ["doc_id"]) for lang in languages]
     crossed = [
         splits.cross_corpus(parts[i], parts[(i + 1) % len(parts)]).withColumn("trained", F.lit(lang))

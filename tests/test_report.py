@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from causeway.functions.parsing import parse_class, response_spans, sentence_count, span_overlap, unwrap, word_response
 from causeway.operators import report, spans
 
+# Classes and scores of published tests, here and below.
 TRUE = ["cat"] * 6 + ["pig"] * 6
 PRED = ["cat"] * 3 + ["pig", "other", "other"] + ["cat"] * 2 + ["pig"] + ["other"] * 3
 
