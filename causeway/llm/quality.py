@@ -333,10 +333,11 @@ def resample(
 
     A null or empty text has no n-grams and weight 1. Repeated rows have equal draws: all
     rows whose draw equals the k-th largest are drawn. Without target labels every weight
-    is 1 and, by default, all rows are drawn. Empty tables give empty results. Every text is
-    scored once; the scored rows are written to the shared folder.
+    is 1 and, by default, all rows are drawn. Empty tables give empty results. Scores without
+    texts are written to the shared folder; with ``texts`` rows are scored a second time, so that
+    no copy of the texts is kept there.
     """
     model = fit(docs, labels, sample)
-    scored = score(docs if texts else docs.select("doc_id", "text"), model, seed)
-    draws = written(scored if texts else scored.drop("text"))
-    return draws.withColumn("drawn", _cut(draws, draws.where("log_weight >= 0").count() if k is None else k))
+    draws = written(score(docs.select("doc_id", "text"), model, seed).drop("text"))
+    drawn = _cut(draws, draws.where("log_weight >= 0").count() if k is None else k)
+    return (score(docs, model, seed) if texts else draws).withColumn("drawn", drawn)
