@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import numbered_span
 from .skew import with_group_size
 
+# Workers get this module's functions as they are, whether or not they can import it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GROUP_KEY = ["corpus", "doc_id", "sent_id"]
 
 

@@ -9,14 +9,19 @@ cuts records knowing it. Only records that are torn between ranges are shuffled.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+# Workers get this module's functions as they are, whether or not they can import it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RANGE = ["file", "block"]
 _RECORD = "file string, block bigint, owner bigint, first boolean, value string"
 
