@@ -149,8 +149,9 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     tail = ((F.col("odd_before") + F.col("flip")) % 2 == 1) & ((F.col("odd_before") == 0) | (F.col("turns") == 1))
     states = _with_owner(blocks.withColumn("tail", tail)).select(*RANGE, "odd_before", "owner")
     records = [_records(lines, states, _QuotedLines, torn, "\n") for torn in (False, True)]
-    both = records[0].unionByName(records[1])
-    return both.withColumn("value", F.regexp_replace("value", "\r$", "")).where(r"value RLIKE '\\S'")
+    both = records[0].unionByName(records[1]).where(r"value RLIKE '\\S'")
+    bare = F.regexp_replace("value", "\r$", "")
+    return both.withColumn("value", F.when(F.contains("value", F.lit("\r")), bare).otherwise(F.col("value")))
 
 
 def read_quoted_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -158,8 +159,9 @@ def read_quoted_csv(spark: SparkSession, path: str) -> DataFrame:
     options = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
     names = spark.read.options(**options).csv(path).columns
     cells = F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {k: v for k, v in options.items() if k != "header"})
-    rows = quoted_records(spark, path).where("NOT first")
-    return rows.select(cells.alias("cells")).select("cells.*")
+    # Inlined, the cells are parsed once for each record; as plain fields of the struct they
+    # would be parsed again for every column, and again for every use in a filter.
+    return quoted_records(spark, path).where("NOT first").select(F.inline(F.array(cells)))
 
 
 # --- arrays in JSON documents ------------------------------------------------------

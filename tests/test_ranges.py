@@ -122,3 +122,13 @@ def test_no_instances(small_ranges, tmp_path):
     (tmp_path / "b.json").write_text('{"other": 1}\n')
     (tmp_path / "c.json").write_text("")
     assert readers.read_instances(small_ranges, str(tmp_path)).count() == 0
+
+
+def test_cells_are_parsed_once_for_each_record(spark, tmp_path):
+    with open(tmp_path / "pairs.csv", "w", newline="") as out:
+        csv.writer(out).writerows([["x", *readers.PAIR_COLUMNS], ["x", "c", "d", "1", "0", "t", "m", "1", "n/a", "1"]])
+    for read in (readers.read_pairs_csv, readers.pairs_quarantine):
+        frame = read(spark, str(tmp_path / "pairs.csv"))
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_csv") == 1
+    assert [r["reason"] for r in readers.pairs_quarantine(spark, str(tmp_path / "pairs.csv")).collect()] == ["number"]
