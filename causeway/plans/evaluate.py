@@ -87,12 +87,18 @@ def prompt_report(predictions: DataFrame, task: str, by_word: bool = False) -> D
 
 
 def prediction_rows(predictions: DataFrame, task: str, by_word: bool = False) -> DataFrame:
-    """The columns of the predictions file; one row per token for answers by word."""
+    """The columns of the predictions file; one row per token for answers by word.
+
+    Tokens of an example share its ``row``. Its texts stand beside its first token only: beside
+    every token the file would grow with the square of a sentence's length.
+    """
     if task != SPAN:
         return predictions.select("example_id", "labels", "output", "pred")
     if by_word:
-        kept = ["example_id", "text", "tagged_text", "output"]
-        rows = spans.explode_tokens(predictions, "tokens", "tags", "pred", keep=kept)
+        texts = ["text", "tagged_text", "output"]
+        numbered = predictions.withColumn("row", F.monotonically_increasing_id())
+        rows = spans.explode_tokens(numbered, "tokens", "tags", "pred", keep=["row", "example_id", *texts])
+        rows = rows.withColumns({c: F.when(F.col("pos") == 0, F.col(c)) for c in texts})
         return rows.withColumnsRenamed({"tokens": "token", "tags": "tag", "pred": "pred_tag"})
     return predictions.select(
         "example_id", "text", "tagged_text", "output",

@@ -279,6 +279,23 @@ def test_evaluate_words(spark, data_dir, tmp_path):
     assert scores.class_accuracy["accuracy_0"] == 0.0
 
 
+def test_rows_by_word_hold_each_text_once(spark):
+    words = [f"word{i}" for i in range(300)]
+    examples = [(k, f"text {k} " * 300, f"tagged {k}", f"output {k}", words, ["O"] * 300, [str(k)] * 300) for k in (0, 0, 1)]
+    names = "example_id long, text string, tagged_text string, output string, tokens array<string>, tags array<string>, pred array<string>"
+    rows = evaluate.prediction_rows(spark.createDataFrame(examples, names), SPAN, by_word=True).collect()
+    assert len(rows) == 900 and sum(len(r.text or "") for r in rows) == sum(len(e[1]) for e in examples)
+    by_row = {}
+    for r in rows:
+        by_row.setdefault(r.row, []).append(r)
+    got = []
+    for own in by_row.values():
+        own.sort(key=lambda r: r.pos)
+        first = own[0]
+        got.append((first.example_id, first.text, first.tagged_text, first.output, *([r[c] for r in own] for c in ("token", "tag", "pred_tag"))))
+    assert sorted(got) == sorted(examples)
+
+
 def test_evaluate_classes(spark, data_dir, tmp_path):
     scorer = lambda prompts: prompts.str.replace("(?s).*", "N1", regex=True)
     for task, corpus in ((SEQUENCE, "ctb"), (CHAIN, "reco")):
