@@ -386,6 +386,8 @@ def tokenizer_overlap(spark, sf):
 def word_pairs_by_position(spark, sf):
     """Predictions without keys beside their references, both in the order of the references."""
     order = ["doc_id", "sent_id", "example_id", "corpus"]
-    rows = _word_predictions(spark, sf).orderBy(*order)
-    keyed = rows.select("doc_id", "sent_id", "example_id", F.array_join("tags", "|").alias("tags"))
-    return prompting.pair_by_position(rows.select(F.array_join("pred", "|").alias("pred")), keyed)
+    joined = [F.array_join(c, "|").alias(c) for c in ("tags", "pred")]
+    # Two sorts read the rows, each twice to find its ranges; they are made once.
+    rows = scratch.staged(_word_predictions(spark, sf).select(*order, *joined)).orderBy(*order)
+    keyed = rows.select("doc_id", "sent_id", "example_id", "tags")
+    return prompting.pair_by_position(rows.select("pred"), keyed)
