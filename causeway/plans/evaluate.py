@@ -13,6 +13,7 @@ from ..functions.prompts import check_template
 from ..functions.tagging import IGNORED_LABEL, align_labels, argmax_class, concat_with_sep, cut_body
 from ..operators import filters, prompting, report, spans, splits
 from ..sources import corpora, sinks
+from ..sources.scratch import staged
 from ..sources.rules import CHAIN, SEQUENCE, SPAN, check_pair, resolve_filters
 
 LAYOUTS = {SEQUENCE: "class", SPAN: "span", CHAIN: "chain"}
@@ -240,16 +241,17 @@ def chain_inputs(
 def encoder_report(scored: DataFrame, task: str) -> DataFrame:
     """Metrics of score vectors ``scores`` against ``labels``, in one row.
 
-    Spans carry one score vector per token; ignored labels are left out.
+    Spans carry one score vector per token; ignored labels are left out. What is read more
+    than once, predictions or their confusion table, is written first, so that scores are read once.
     """
     if task != SPAN:
-        table = report.confusion(
+        table = staged(report.confusion(
             scored.withColumn("pred", argmax_class(F.col("scores"))), "labels", "pred"
-        )
+        ))
         return report.with_class_recall(
             report.score(table, [1], "binary"), report.class_recall(table)
         )
-    guessed = scored.withColumn("pred", F.transform("scores", argmax_class))
+    guessed = staged(scored.select("labels", F.transform("scores", argmax_class).alias("pred")))
     tokens = spans.explode_tokens(guessed, "labels", "pred").where(F.col("labels") != IGNORED_LABEL)
     table = report.confusion(tokens, "labels", "pred")
     scores = report.with_class_recall(report.score(table, [1, 2], "macro"), report.class_recall(table))
