@@ -72,7 +72,8 @@ def strip_clues(text: Column) -> Column:
         )
         return F.when(bare.contains("<b2>"), numbered).otherwise(map_tags(bare, "br"))
 
-    return let(F.regexp_replace(text, CLUE_TAG, ""), renumber)
+    stripped = let(F.regexp_replace(text, CLUE_TAG, ""), renumber)
+    return F.when(~text.contains("<"), text).otherwise(stripped)
 
 
 def spans_of(text: Column, letter: str) -> Column:
@@ -159,4 +160,5 @@ def has_crossing(text: Column) -> Column:
         )
         return F.when(~malformed, overlap)
 
-    return let(text, lambda t: let(relation_count(t), lambda count: check(count, t)))
+    checked = let(text, lambda t: let(relation_count(t), lambda count: check(count, t)))
+    return F.when(~text.contains("<c1>"), False).otherwise(checked)

@@ -174,21 +174,36 @@ def aligned_tags(tagged: Column, tokens: Column) -> Column:
     tokens add up to the text and tags sit only between tokens, segment numbers
     per character give the answer. Other rows (nested tags, dropped blanks) take a merge:
     a place in the tagged string moves over tokens and tags, whose offsets are known, so
-    no rest of the text is copied. Both are linear in the text.
+    no rest of the text is copied. Both are linear in the text. Rows without tags, and segments
+    whose tokens are single characters, take runs of equal tags and no step per character.
     """
     row = F.struct(tagged.alias("tagged"), tokens.alias("tokens"))
-    return let(row, lambda r: _aligned(r["tagged"], r["tokens"]))
+    plain = F.array_repeat(F.lit("O"), F.size(tokens))
+    return F.when(~tagged.contains("<") & tokens.isNotNull(), plain).otherwise(
+        let(row, lambda r: _aligned(r["tagged"], r["tokens"]))
+    )
 
 
 def _aligned(tagged: Column, tokens: Column) -> Column:
-    def by_segment(segments: Column) -> Column:
+    def opened_kinds() -> Column:
         # Segment j lies behind the j-th tag; what that tag opens is its kind.
         opened = F.transform(
             F.regexp_extract_all(tagged, F.lit(f"({SPAN_TAG})"), F.lit(1)),
             lambda mark: F.when(mark.startswith("<c"), "C").when(mark.startswith("<e"), "E").otherwise("O"),
         )
+        return F.concat(F.array(F.lit("O")), opened)
+
+    def by_run(segments: Column) -> Column:
+        def run(segment: Column, kind: Column) -> Column:
+            inside = _run(F.concat(F.lit("B-"), kind), F.concat(F.lit("I-"), kind), F.length(segment))
+            plain = F.array_repeat(F.lit("O"), F.length(segment))
+            return F.when((kind == "O") | (segment == ""), plain).otherwise(inside)
+
+        return let(opened_kinds(), lambda kinds: F.flatten(F.transform(segments, lambda s, j: run(s, F.get(kinds, j)))))
+
+    def by_segment(segments: Column) -> Column:
         chars = F.struct(
-            F.concat(F.array(F.lit("O")), opened).alias("kinds"),
+            opened_kinds().alias("kinds"),
             F.flatten(F.transform(segments, lambda s, j: F.array_repeat(j, F.length(s)))).alias("seg"),
             F.flatten(F.transform(tokens, lambda t, i: F.array_repeat(i, F.length(t)))).alias("tok"),
             F.size(F.filter(segments, lambda s: s != "")).alias("filled"),
@@ -292,7 +307,9 @@ def _aligned(tagged: Column, tokens: Column) -> Column:
         & ~F.array_contains(tokens, "")
         & ~tagged.rlike("<[ce][0-9]*></?[ce][0-9]*>|</[ce][0-9]*></[ce][0-9]*>")
     )
-    return F.when(simple, let(F.split(tagged, SPAN_TAG), by_segment)).otherwise(by_scan())
+    segments = F.split(tagged, SPAN_TAG)
+    single = F.size(tokens) == F.length(F.array_join(tokens, ""))
+    return F.when(simple & single, let(segments, by_run)).when(simple, let(segments, by_segment)).otherwise(by_scan())
 
 
 def align_labels(word_ids: Column, tags: Column) -> Column:
