@@ -21,13 +21,16 @@ def _pair_label(label: Column, i: Column) -> Column:
 
 def chain_pairs(instances: DataFrame, prefix: str = "reco") -> DataFrame:
     """Windows of instance rows ``index, events, short_contexts, label``."""
+    return chain_windows(instances.withColumn("events", clean_events(F.col("events"))), prefix)
+
+
+def chain_windows(instances: DataFrame, prefix: str = "reco") -> DataFrame:
+    """The same of arrays that hold anything, such as the ids of events and contexts."""
     starts = F.when(
         F.size("short_contexts") >= 2,
         F.sequence(F.lit(0), F.greatest(F.size("short_contexts") - 2, F.lit(0))),
     )
-    rows = instances.withColumn("events", clean_events(F.col("events"))).withColumn(
-        "_i", F.explode(starts)
-    )
+    rows = instances.withColumn("_i", F.explode(starts))
     i = F.col("_i")
     return rows.select(
         F.concat_ws("_", F.lit(prefix), F.col("index").cast("string"), i.cast("string")).alias("example_id"),
