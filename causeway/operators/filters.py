@@ -90,6 +90,11 @@ def quarantine(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(passed), df.where(~passed)
 
 
+def with_status(df: DataFrame, valid: Column) -> DataFrame:
+    """Both parts of `quarantine` in one pass, told apart by ``status``: valid or rejected."""
+    return df.withColumn("status", F.when(F.coalesce(valid, F.lit(False)), "valid").otherwise("rejected"))
+
+
 def valid_chain_label(label: Column) -> Column:
     return label.isin(*CHAIN_LABELS)
 

@@ -304,12 +304,7 @@ def exact_match_tags(spark, sf):
 )
 def tag_quarantine(spark, sf):
     rows = _word_predictions(spark, sf).select("doc_id", "sent_id", "example_id", "pred")
-    valid, rejected = filters.quarantine(rows, filters.valid_tags(F.col("pred")))
-    return (
-        valid.withColumn("status", F.lit("valid"))
-        .unionByName(rejected.withColumn("status", F.lit("rejected")))
-        .drop("pred")
-    )
+    return filters.with_status(rows, filters.valid_tags(F.col("pred"))).drop("pred")
 
 
 _WORD_LABELS = ["B-C", "I-C", "B-E", "I-E", "O"]

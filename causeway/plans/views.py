@@ -12,6 +12,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; a session on one machine may ask for its rows to be dealt out.
@@ -284,13 +286,13 @@ def word_responses(rows: DataFrame) -> DataFrame:
             x["tokens"], F.lit(": "), F.when((i + number) % 5 == 4, "O").otherwise(x["tags"])
         ),
     )
-    half = F.slice(lines, F.lit(1), F.floor(F.size(lines) / 2).cast("int"))
-    kept = F.when(number % 7 == 0, half).when(
-        number % 7 == 1, F.concat(lines, F.array(F.lit("done: O")))
-    )
-    return rows.withColumn(
-        "output", F.concat(F.lit("[Labels]\n"), F.array_join(kept.otherwise(lines), "\n"))
-    )
+
+    def kept(lines):
+        half = F.slice(lines, F.lit(1), F.floor(F.size(lines) / 2).cast("int"))
+        more = F.concat(lines, F.array(F.lit("done: O")))
+        return F.when(number % 7 == 0, half).when(number % 7 == 1, more).otherwise(lines)
+
+    return rows.withColumn("output", F.concat(F.lit("[Labels]\n"), F.array_join(let(lines, kept), "\n")))
 
 
 WORD_RESPONSES_SQL = """
