@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RANGE = ["file", "block"]
+# Bytes of text that a task works on at a time; its arrays take many times that.
+STRETCH = 1 << 22
 _RECORD = "file string, block bigint, owner bigint, first boolean, value string"
 
 
@@ -35,8 +37,19 @@ def _pieces(spark: SparkSession, path: str, mark: str) -> DataFrame:
     )
 
 
+def _stretches(values: pa.Array) -> Iterator[pa.Array]:
+    """The values in stretches of ``STRETCH`` bytes; a longer value is one of its own."""
+    ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, before + STRETCH, "right")), first + 1)
+        yield values.slice(first, last - first)
+        first = last
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Array]]:
-    """Values of each range, batch by batch, with the range's other columns."""
+    """Values of each range, stretch by stretch, with the range's other columns."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -46,7 +59,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Array]]:
         cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for first, last in zip(cuts[:-1], cuts[1:], strict=True):
             own = {n: batch.column(i)[first].as_py() for i, n in enumerate(names) if n != "value"}
-            yield own, batch.column(names.index("value")).slice(first, last - first)
+            for values in _stretches(batch.column(names.index("value")).slice(first, last - first)):
+                yield own, values
 
 
 def _records(pieces: DataFrame, states: DataFrame, cutter: type, torn: bool, glue: str) -> DataFrame:
