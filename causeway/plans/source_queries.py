@@ -333,13 +333,13 @@ def prediction_sink(spark, sf):
         rows.select("doc_id", "sent_id", "example_id", "tokens", "pred", F.lit(rules.SPAN).alias("task")),
         path,
     )
+    # Line breaks are escaped in the tokens' JSON, so a row is a line and tasks share a file.
     read = (
         spark.read.schema(
             "doc_id string, sent_id bigint, example_id bigint, tokens string, pred string, task string"
         )
         .option("header", True)
         .option("escape", '"')
-        .option("multiLine", True)
         .csv(path)
     )
     return read.withColumns(

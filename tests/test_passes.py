@@ -1,12 +1,13 @@
 """How often queries compute what is dear, and that the cheap ways give the same."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import markup, tagging
 from causeway.plans import evaluate, route_queries
 from causeway.plans.registry import QUERIES
-from causeway.sources import scratch
+from causeway.sources import ranges, scratch
 from causeway.sources.rules import SPAN
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +81,23 @@ def test_aligned_tags_by_runs_and_by_steps_agree(spark):
     plain = spark.createDataFrame([("no tags",), ("<b1>a</b1>",), (None,)], "t string")
     got = plain.select(markup.strip_clues(F.col("t")).alias("t"), markup.has_crossing(F.col("t")).alias("x")).collect()
     assert [tuple(r) for r in got] == [("no tags", False), ("<c>a</c>", False), (None, None)]
+
+
+def test_predictions_are_read_by_several_tasks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = QUERIES["prediction_sink"](spark, SF)
+        files = len(read.inputFiles())
+        assert read.rdd.getNumPartitions() > 3 * files
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_ranges_are_worked_on_in_stretches():
+    values = pa.array(["x" * 100_000] * 500 + ["y" * (ranges.STRETCH + 1), "", "z"])
+    batch = pa.RecordBatch.from_arrays([values, pa.array(["f"] * 503), pa.array([0] * 503)], names=["value", "file", "block"])
+    parts = [part for _, part in ranges._runs(iter([batch]))]
+    assert [v for part in parts for v in part.to_pylist()] == values.to_pylist()
+    assert all(len(part) == 1 or sum(map(len, part.to_pylist())) <= ranges.STRETCH for part in parts)
