@@ -15,7 +15,7 @@ from ..operators import chains, filters, splits
 from ..operators.dedup import keep_first, keep_unique
 from ..operators.groups import causal_groups, malformed_relations
 from . import readers
-from .scratch import shared_folder
+from .scratch import staged
 from .rules import CHAIN, SEQUENCE, SPAN, RejectedOption, check_pair
 
 # File names of the corpora.
@@ -71,9 +71,7 @@ def filter_test(
 
 def _staged(rows: DataFrame) -> DataFrame:
     """The rows of a text file as columns in the shared folder, so that it is parsed once."""
-    folder = shared_folder(rows.sparkSession)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    return staged(rows)
 
 
 def _with_split(df: DataFrame, name: str) -> DataFrame:

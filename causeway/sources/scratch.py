@@ -40,5 +40,5 @@ def staged(df: DataFrame) -> DataFrame:
     This cuts lineage, survives the loss of executors and fixes what depends on partitions.
     """
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import markup, tagging
+from causeway.operators import dedup
 from causeway.plans import evaluate, route_queries
 from causeway.plans.registry import QUERIES
 from causeway.sources import ranges, scratch
@@ -101,3 +102,11 @@ def test_ranges_are_worked_on_in_stretches():
     parts = [part for _, part in ranges._runs(iter([batch]))]
     assert [v for part in parts for v in part.to_pylist()] == values.to_pylist()
     assert all(len(part) == 1 or sum(map(len, part.to_pylist())) <= ranges.STRETCH for part in parts)
+
+
+def test_digests_of_texts_travel_as_bytes(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), (None, 4), (None, 5)], "text string, row_id long")
+    assert sorted(r.row_id for r in dedup.keep_first(rows).collect()) == [1, 2, 4]
+    assert [r.row_id for r in dedup.keep_unique(rows).collect()] == [2]
+    by_text = dedup._by_text(rows, "text", "row_id")
+    assert "unhex" in optimized(by_text)
