@@ -21,7 +21,7 @@ from ..functions.parsing import (
     word_response,
 )
 from ..functions.prompts import SHOTS, answer_text, question_text
-from ..sources.scratch import shared_folder
+from ..sources.scratch import shared_folder, staged
 from .ranking import with_input_position, with_position
 
 
@@ -143,10 +143,14 @@ def score_resumed(
     the finished ones there and leaves their prompts out by an anti join, so at most the
     prompts of one bucket are sent twice. Rows that agree on keys and prompt are sent once.
     ``stop_after`` ends a run after so many buckets; rows of the others have no output then.
+
+    The rows are written first, as both their prompts and the rows that get the outputs are read.
+    Prompts are grouped and joined by their hash first, since they begin alike for long.
     """
     spark = df.sparkSession
     names = list(dict.fromkeys([*keys, prompt]))
-    asked = df.select(*names).dropDuplicates(names).withColumn("_resume", _resume_key(keys, prompt))
+    df = staged(df)
+    asked = df.select(*names).withColumn("_resume", _resume_key(keys, prompt)).dropDuplicates(["_resume", *names])
     schema = StructType([*asked.schema.fields, StructField("output", StringType())])
     same = reduce(lambda a, b: a & b, [F.col(f"asked.{c}").eqNullSafe(F.col(f"done.{c}")) for c in ("_resume", *names)])
     done = finished_outputs(spark, folder, schema).alias("done")
@@ -160,9 +164,10 @@ def score_resumed(
         own = waiting.where(F.col("_bucket") == bucket).drop("_bucket")
         score_prompts(own, scorer, prompt).write.parquet(f"{folder}/outputs/{name}")
         spark.createDataFrame([(name,)], "round string").coalesce(1).write.mode("append").json(f"{folder}/manifest")
-    done = finished_outputs(spark, folder, schema).select("*").withColumnsRenamed({c: f"_{c}" for c in names})
-    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
-    return df.join(done, match, "left").select(*df.columns, "output")
+    done = finished_outputs(spark, folder, schema).withColumnsRenamed({c: f"_{c}" for c in (*names, "_resume")})
+    pairs = [("_own", "__resume"), *[(c, f"_{c}") for c in names]]
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(other)) for c, other in pairs])
+    return df.withColumn("_own", _resume_key(keys, prompt)).join(done, match, "left").select(*df.columns, "output")
 
 
 def class_predictions(df: DataFrame) -> DataFrame:

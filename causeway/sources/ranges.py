@@ -68,19 +68,19 @@ def _records(pieces: DataFrame, states: DataFrame, cutter: type, torn: bool, glu
 
     A cutter begins with a range's state. Fed pieces, it gives the end of a record that began
     in an earlier range, if it comes, and the records that are whole; ``held`` is what is left.
+    Only ranges whose state is ``torn`` begin or end within a record, so text of the others
+    does not leave the scan when torn records are looked for.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan, own = None, None
 
-        def batch(own: dict, values: list, head: bool, first: list[bool]) -> pa.RecordBatch:
-            n = len(values)
-            owner = [None] * n if not torn else [own["owner"] if head else own["block"]] * n
-            columns = [[own["file"]] * n, [own["block"]] * n, owner, first, values]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "block", "owner", "first", "value"]
-            )
+        def batch(own: dict, values: list | pa.Array, head: bool, first: list | np.ndarray) -> pa.RecordBatch:
+            owner = None if not torn else own["owner"] if head else own["block"]
+            same = [(own["file"], pa.string()), (own["block"], pa.int64()), (owner, pa.int64())]
+            columns = [pa.repeat(pa.scalar(value, kind), len(values)) for value, kind in same]
+            columns += [pa.array(first, pa.bool_()), pa.array(values, pa.string()) if isinstance(values, list) else values]
+            return pa.RecordBatch.from_arrays(columns, names=["file", "block", "owner", "first", "value"])
 
         def close() -> Iterator[pa.RecordBatch]:
             if torn and scan is not None and scan.held:
@@ -90,16 +90,18 @@ def _records(pieces: DataFrame, states: DataFrame, cutter: type, torn: bool, glu
             if own is None or (now["file"], now["block"]) != (own["file"], own["block"]):
                 yield from close()
                 own, scan = now, cutter(now)
-            head, whole = scan.feed(values)
+            head, whole = scan.feed(values, torn)
             if torn and head is not None:
                 yield batch(own, [head], True, [False])
             if not torn and len(whole):
-                first = [False] * len(whole)
+                first = np.zeros(len(whole), bool)
                 first[0] = own["block"] == 0 and scan.count == len(whole)
                 yield batch(own, whole, False, first)
         yield from close()
 
-    cut = pieces.join(F.broadcast(states), RANGE).mapInArrow(work, _RECORD)
+    if torn:
+        states = states.where("torn")
+    cut = pieces.join(F.broadcast(states.drop("torn")), RANGE).mapInArrow(work, _RECORD)
     if not torn:
         return cut.select("file", "block", "first", "value")
     parts = F.array_sort(F.collect_list(F.struct("block", "value")))
@@ -131,19 +133,27 @@ class _QuotedLines:
         self.held: list[str] = []
         self.count = 0
 
-    def feed(self, lines: pa.Array) -> tuple[str | None, list[str]]:
+    def feed(self, lines: pa.Array, torn: bool = False) -> tuple[str | None, pa.Array]:
         parity = (self.open + np.cumsum(pc.count_substring(lines, '"').to_numpy(zero_copy_only=False))) % 2
         ends = np.flatnonzero(parity == 0) + 1
         self.open = int(parity[-1])
+        head, records = None, lines.slice(0, 0)
         if not len(ends):
             self.held += lines.to_pylist()
-            return None, []
-        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-        records = pc.binary_join(pa.ListArray.from_arrays(offsets, lines.slice(0, int(ends[-1]))), "\n").to_pylist()
-        records[0] = "\n".join([*self.held, records[0]])
+            return head, records
+        start = 0
+        if self.held or self.headed:
+            start = 1
+            record = "\n".join([*self.held, *lines.slice(0, int(ends[0])).to_pylist()])
+            head, records = (record, records) if self.headed else (None, pa.array([record], lines.type))
         self.held = lines.slice(int(ends[-1])).to_pylist()
-        head = records.pop(0) if self.headed else None
         self.headed = False
+        if not torn and len(ends) > start:
+            offsets = np.concatenate([[0], ends])[start:]
+            own = lines.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+            if len(own) > len(offsets) - 1:  # some record has several lines
+                own = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), own), "\n")
+            records = pa.concat_arrays([records, own]) if len(records) else own
         self.count += len(records)
         return head, records
 
@@ -153,7 +163,8 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
 
     A cell that holds a quote must be quoted and double it. ``first`` marks the first record
     of a file, ``value`` has no line break at its end, and blank lines between records are left
-    out. The text is scanned three times: for the quotes, for whole records and for torn ones.
+    out. The text is scanned three times: for the quotes, for whole records and for torn ones;
+    the last scan goes on with ranges that have one.
     """
     lines = _pieces(spark, path, "\n")
     odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
@@ -161,7 +172,9 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     in_file = Window.partitionBy("file").orderBy("block")
     blocks = blocks.withColumn("odd_before", _before(F.col("flip"), in_file) % 2)
     tail = ((F.col("odd_before") + F.col("flip")) % 2 == 1) & ((F.col("odd_before") == 0) | (F.col("turns") == 1))
-    states = _with_owner(blocks.withColumn("tail", tail)).select(*RANGE, "odd_before", "owner")
+    states = _with_owner(blocks.withColumn("tail", tail)).select(
+        *RANGE, "odd_before", "owner", (F.col("tail") | (F.col("odd_before") == 1)).alias("torn")
+    )
     records = [_records(lines, states, _QuotedLines, torn, "\n") for torn in (False, True)]
     both = records[0].unionByName(records[1]).where(r"value RLIKE '\\S'")
     bare = F.regexp_replace("value", "\r$", "")
@@ -222,7 +235,7 @@ class _Elements:
         self.held: list[str] = []
         self.count = 0
 
-    def feed(self, pieces: pa.Array) -> tuple[str | None, list[str]]:
+    def feed(self, pieces: pa.Array, torn: bool = False) -> tuple[str | None, list[str]]:
         data = _as_bytes(pieces)
         quotes, brackets, depth = _structure(data, self.in_string, self.depth)
         keys = _root_keys(data, quotes, brackets, depth)
@@ -320,7 +333,7 @@ def json_elements(spark: SparkSession, path: str, key: str) -> DataFrame:
     )
     inside = (F.col("depth_before") >= 3) & F.col("key_before").eqNullSafe(F.lit(key))
     tail = (F.col("depth_after") >= 3) & F.col("key_after").eqNullSafe(F.lit(key)) & (~inside | F.col("closes"))
-    states = _with_owner(blocks.withColumn("tail", tail)).withColumn("wanted", F.lit(key))
-    states = states.select(*RANGE, "string_before", "depth_before", "key_before", "wanted", "owner")
+    states = _with_owner(blocks.withColumns({"tail": tail, "torn": tail | inside})).withColumn("wanted", F.lit(key))
+    states = states.select(*RANGE, "string_before", "depth_before", "key_before", "wanted", "owner", "torn")
     records = [_records(pieces, states, _Elements, torn, "") for torn in (False, True)]
     return records[0].unionByName(records[1]).select("value")

@@ -30,9 +30,13 @@ INSTANCE_SCHEMA = (
 
 
 def whole_number(text: Column) -> Column:
-    """A whole number, also one written as ``1.0``; NULL for anything else."""
+    """A whole number, also one written as ``1.0``; NULL for anything else.
+
+    Plain digits, as most numbers are, need no decimals.
+    """
     number = text.try_cast("decimal(38,10)")
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    plain = F.when(text.rlike(r"\A[0-9]{1,18}\z"), text.cast("bigint"))
+    return plain.when(number == F.floor(number), number.try_cast("bigint"))
 
 
 def _pair_cells(spark: SparkSession, path: str, multi_line: bool) -> tuple[DataFrame, Column]:

@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import markup, tagging
-from causeway.operators import dedup
+from causeway.operators import dedup, prompting
 from causeway.plans import evaluate, route_queries
 from causeway.plans.registry import QUERIES
-from causeway.sources import ranges, scratch
+from causeway.sources import ranges, readers, scratch
 from causeway.sources.rules import SPAN
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +110,45 @@ def test_digests_of_texts_travel_as_bytes(spark):
     assert [r.row_id for r in dedup.keep_unique(rows).collect()] == [2]
     by_text = dedup._by_text(rows, "text", "row_id")
     assert "unhex" in optimized(by_text)
+
+
+def test_rows_of_resumed_prompts_are_made_once(spark, counted, tmp_path):
+    seen, through = counted
+    rows = spark.range(20).select("id", F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("prompt"))
+    rows = scratch.staged(rows).withColumn("prompt", through("string")("prompt"))
+    got = prompting.score_resumed(rows, lambda batch: batch + "!", [], str(tmp_path / "kept"), rounds=2).collect()
+    assert sorted((r.id, r.output) for r in got) == [(i, f"p{i % 7}!") for i in range(20)]
+    assert seen.value == 20
+
+
+def test_ranges_that_end_with_a_record_are_not_read_for_torn_ones(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted(ranges._QuotedLines):
+        def feed(self, lines, *torn):
+            seen.add(len(lines))
+            return super().feed(lines, *torn)
+
+    monkeypatch.setattr(ranges, "_QuotedLines", Counted)
+    rows = [("n", "v")] + [(str(i), "x" * (i % 50)) for i in range(2000)]
+    path = tmp_path / "plain.csv"
+    path.write_text("".join(f'{n},"{v}"\n' for n, v in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = ranges.read_quoted_csv(spark, str(path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.n, r.v or "") for r in got) == sorted(rows[1:])
+    assert seen.value == len(rows)
+
+
+def test_plain_numbers_and_others_agree(spark):
+    texts = ["1", "1.0", " 7 ", "+5", "-3", "1e3", "", "x", "12\n", "9" * 18, "9" * 19, "9223372036854775807", "0012", "1.5", "٣", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    number = F.col("t").try_cast("decimal(38,10)")
+    want = F.when(number == F.floor(number), number.try_cast("bigint"))
+    got = rows.select("t", readers.whole_number(F.col("t")).alias("got"), want.alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    assert "RLIKE" in optimized(rows.select(readers.whole_number(F.col("t"))))
