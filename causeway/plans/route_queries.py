@@ -95,20 +95,20 @@ def load_phrase_corpus(spark, sf):
         return plain(F.regexp_extract("tagged_text", f"<{letter}>(.*?)</{letter}>", 1))
 
     numbered = F.regexp_replace(F.regexp_replace("tagged_text", "<(/?)c>", "<$1e1>"), "<(/?)e>", "<$1e2>")
-    rows = span_rows(spark, sf).select(
+    columns = [
         F.concat_ws(".", "src_id", "sent_id", "example_id").alias("Index"),
         plain(F.col("text")).alias("Text"),
         phrase("c").alias("Cause"),
         phrase("e").alias("Effect"),
         plain(numbered).alias("Sentence"),
-        "src_id",
-        "sent_id",
-        "example_id",
-    )
+    ]
+    # A sort makes its input twice, for its ranges first. So phrases are cut out behind it.
+    order = ["src_id", "sent_id", "example_id"]
+    rows = span_rows(spark, sf)
     for number, part in enumerate(corpora.FINCAUSAL_PARTS):
         path = os.path.join(folder, corpora.FINCAUSAL_FILE.format(part=part, task=2))
-        own = rows.where(F.col("src_id") % 2 == number).orderBy("src_id", "sent_id", "example_id")
-        _write_csv(own.select(*corpora.FINCAUSAL_COLUMNS[rules.SPAN]), path, "; ")
+        own = rows.where(F.col("src_id") % 2 == number).select(*order, "text", "tagged_text").orderBy(*order)
+        _write_csv(own.select(*columns), path, "; ")
     loaded = corpora.load_corpus(spark, "fincausal", rules.SPAN, folder, seed=SEED)
     return loaded.select("example_id", "text", _letters(F.col("tags")).alias("tags"), "tagged_text", "split")
 

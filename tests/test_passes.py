@@ -152,3 +152,19 @@ def test_plain_numbers_and_others_agree(spark):
     got = rows.select("t", readers.whole_number(F.col("t")).alias("got"), want.alias("want")).collect()
     assert [r.got for r in got] == [r.want for r in got]
     assert "RLIKE" in optimized(rows.select(readers.whole_number(F.col("t"))))
+
+
+def test_phrases_are_cut_out_behind_the_sort(spark, monkeypatch):
+    plans = []
+    write = route_queries._write_csv
+
+    def kept(df, path, sep):
+        plans.append(optimized(df))
+        write(df, path, sep)
+
+    monkeypatch.setattr(route_queries, "_write_csv", kept)
+    assert QUERIES["load_phrase_corpus"](spark, SF).count() > 0
+    assert len(plans) == 2
+    for plan in plans:
+        above, below = plan.split("Sort [", 1)
+        assert "regexp_extract(" in above and "regexp_extract(" not in below
