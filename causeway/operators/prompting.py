@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -21,9 +22,13 @@ from ..functions.parsing import (
     word_response,
 )
 from ..functions.prompts import SHOTS, answer_text, question_text
+from ..sources.ranges import stretches
 from ..sources.scratch import shared_folder, staged
 from .ranking import with_input_position, with_position
 
+# Bytes of prompts that a scorer gets at a time.
+AT_ONCE = 1 << 20
+
 
 def shot_block(
     shots: DataFrame, template: dict[str, str], layout: str, effects_first: bool = False
@@ -66,16 +71,18 @@ def check_shots(k: int) -> int:
 def score_prompts(
     df: DataFrame, scorer: Callable[[pd.Series], pd.Series], prompt: str = "prompt"
 ) -> DataFrame:
-    """Add ``output`` by calling a user's scorer on Arrow batches of prompts.
+    """Add ``output`` by calling a user's scorer on stretches of Arrow batches of prompts.
 
-    Only the prompts go to Python. The scorer counts as non-deterministic, so no
-    rewrite of the plan calls it twice for a row.
+    Only the prompts go to Python, where ``AT_ONCE`` bytes of them are objects at a time. The
+    scorer counts as non-deterministic, so no rewrite of the plan calls it twice for a row.
     """
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield scorer(batch)
+            parts = stretches(batch, AT_ONCE)
+            outputs = [pa.Array.from_pandas(scorer(part.to_pandas()), type=pa.string()) for part in parts]
+            yield pa.concat_arrays(outputs) if outputs else batch
 
     return df.withColumn("output", run.asNondeterministic()(F.col(prompt)))
 

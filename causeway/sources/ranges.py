@@ -37,13 +37,14 @@ def _pieces(spark: SparkSession, path: str, mark: str) -> DataFrame:
     )
 
 
-def _stretches(values: pa.Array) -> Iterator[pa.Array]:
-    """The values in stretches of ``STRETCH`` bytes; a longer value is one of its own."""
-    ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))
+def stretches(values: pa.Array, size: int = STRETCH) -> Iterator[pa.Array]:
+    """The values in stretches of ``size`` bytes; a longer value is one of its own."""
+    lengths = pc.fill_null(pc.binary_length(values), 0)
+    ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < len(ends):
         before = ends[first - 1] if first else 0
-        last = max(int(np.searchsorted(ends, before + STRETCH, "right")), first + 1)
+        last = max(int(np.searchsorted(ends, before + size, "right")), first + 1)
         yield values.slice(first, last - first)
         first = last
 
@@ -59,7 +60,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Array]]:
         cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
         for first, last in zip(cuts[:-1], cuts[1:], strict=True):
             own = {n: batch.column(i)[first].as_py() for i, n in enumerate(names) if n != "value"}
-            for values in _stretches(batch.column(names.index("value")).slice(first, last - first)):
+            for values in stretches(batch.column(names.index("value")).slice(first, last - first)):
                 yield own, values
 
 

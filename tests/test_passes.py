@@ -1,5 +1,6 @@
 """How often queries compute what is dear, and that the cheap ways give the same."""
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,14 @@ def test_phrases_are_cut_out_behind_the_sort(spark, monkeypatch):
     for plan in plans:
         above, below = plan.split("Sort [", 1)
         assert "regexp_extract(" in above and "regexp_extract(" not in below
+
+
+def test_a_scorer_gets_some_prompts_at_a_time(spark):
+    rows = spark.range(0, 4000, 1, 1).select("id", F.when(F.col("id") % 9 > 0, F.repeat(F.lit("é"), 500)).alias("prompt"))
+
+    def size(batch):
+        return pd.Series([str(batch.str.encode("utf-8").str.len().sum())] * len(batch)).where(batch.notna(), None)
+
+    got = prompting.score_prompts(rows, size).orderBy("id").collect()
+    assert [r.output is None for r in got] == [i % 9 == 0 for i in range(4000)]
+    assert max(float(r.output) for r in got if r.output) <= prompting.AT_ONCE
