@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import staged
+from ..sources.scratch import passing, staged
 from .ranking import with_input_position, with_position
 
 # Hex digits of the hash that name a bucket: 16**4 = 65,536 buckets at most,
@@ -99,14 +99,15 @@ def cut(
     a border falls among rows of equal keys are those rows numbered, by a distributed sort.
     """
     hashed = _hashed(df, seed, keys)
-    hashes = staged(hashed.select("_hash"))
-    # At most 65,536 rows, and as many borders as there are parts.
-    sizes = sorted(map(tuple, _bucketed(hashes).groupBy("_bucket").agg(F.count("*")).collect()))
-    total = sum(n for _, n in sizes)
-    named = parts(F.lit(total))
-    lasts = [last.cast("bigint") for _, last in named if last is not None]
-    borders = [max(0, min(b, total)) for b in df.sparkSession.range(1).select(*lasts).first()]
-    places = _places(hashes, sizes, sorted({b for b in borders if 0 < b < total}))
+    with passing():  # nothing reads the hashes once borders are found
+        hashes = staged(hashed.select("_hash"))
+        # At most 65,536 rows, and as many borders as there are parts.
+        sizes = sorted(map(tuple, _bucketed(hashes).groupBy("_bucket").agg(F.count("*")).collect()))
+        total = sum(n for _, n in sizes)
+        named = parts(F.lit(total))
+        lasts = [last.cast("bigint") for _, last in named if last is not None]
+        borders = [max(0, min(b, total)) for b in df.sparkSession.range(1).select(*lasts).first()]
+        places = _places(hashes, sizes, sorted({b for b in borders if 0 < b < total}))
 
     def part_at(place: Column, ends: list) -> Column:
         found = F.when(place <= F.lit(ends[0]), named[0][0])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +20,22 @@ _ANN = f"WITH {views.PAIRS_SQL}"
 _TEST = "regexp_matches(doc_id, '^wsj_(00|01|22|23|24).+')"
 
 
-def _write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+def _write_csv(df: DataFrame, path: str, sep: str = ",", packed: bool = False) -> None:
     writer = df.write.option("header", True).option("sep", sep).option("escape", '"')
     if sep == "; ":
         writer = writer.option("quote", "")
-    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    if packed:
+        writer = writer.option("compression", "gzip")
+    with scratch.shuffles_removed(df.sparkSession):
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def write_pairs(df: DataFrame, path: str) -> None:
+def write_pairs(df: DataFrame, path: str, packed: bool = False) -> None:
     # Columns in another order and one too many, as in the published files, and whole
     # numbers written with a decimal point.
     rows = df.withColumn("seq_label", F.concat("seq_label", F.lit(".0")))
     others = [c for c in readers.PAIR_COLUMNS if c not in ("eg_id", "text")]
-    _write_csv(rows.select("eg_id", "text", F.lit("x").alias("context"), *others), path)
+    _write_csv(rows.select("eg_id", "text", F.lit("x").alias("context"), *others), path, packed=packed)
 
 
 @query(
@@ -49,7 +53,7 @@ _FIN = f"""WITH {views.SENTENCES_SQL}, fin AS (
     replace(s, ';', ',') AS text, (src_id + sent) % 2 AS labels, src_id, sent FROM sents)"""
 
 
-def _write_fincausal(spark, sf, folder: str, torn: int = 0) -> None:
+def _write_fincausal(spark, sf, folder: str, torn: int = 0, packed: bool = False) -> None:
     """``torn``: lines of every so many documents get a field too many."""
     rows = views.sentences(spark, sf).select(
         F.concat_ws(".", "src_id", "sent").alias("Index"),
@@ -64,7 +68,23 @@ def _write_fincausal(spark, sf, folder: str, torn: int = 0) -> None:
     for number, part in enumerate(corpora.FINCAUSAL_PARTS):
         path = os.path.join(folder, corpora.FINCAUSAL_FILE.format(part=part, task=1))
         ordered = rows.where(F.col("src_id") % 2 == number).orderBy("src_id", "sent")
-        _write_csv(ordered.select("Index", "Text", "Gold"), path, "; ")
+        _write_csv(ordered.select("Index", "Text", "Gold"), path, "; ", packed)
+
+
+def delete_read(spark, folder: str) -> Callable[[str], None]:
+    """Deletes the files of a corpus below ``folder``, which were written for one query."""
+
+    def done(corpus: str) -> None:
+        if corpus in corpora.TWO_FILES:
+            names = [f"{corpora.TWO_FILES[corpus]}_{part}.csv" for part in ("train", "test")]
+        elif corpus in corpora.ONE_FILE:
+            names = [corpora.ONE_FILE[corpus]]
+        else:
+            names = [corpora.FINCAUSAL_FILE.format(part=part, task=1) for part in corpora.FINCAUSAL_PARTS]
+        for name in names:
+            scratch.discard(spark, os.path.join(folder, name))
+
+    return done
 
 
 @query(
@@ -232,10 +252,17 @@ def load_delimited_corpus(spark, sf):
 )
 def load_cross_corpus(spark, sf):
     folder = scratch.shared_folder(spark)
-    write_pairs(views.pairs(spark, sf), os.path.join(folder, corpora.ONE_FILE["because"]))
-    _write_fincausal(spark, sf, folder)
+    write_pairs(views.pairs(spark, sf), os.path.join(folder, corpora.ONE_FILE["because"]), packed=True)
+    _write_fincausal(spark, sf, folder, packed=True)
     return corpora.load_data(
-        spark, rules.SEQUENCE, "because", folder, test_corpus="fincausal", test_samples=50, seed=SEED
+        spark,
+        rules.SEQUENCE,
+        "because",
+        folder,
+        test_corpus="fincausal",
+        test_samples=50,
+        seed=SEED,
+        done=delete_read(spark, folder),
     )
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.markup import has_crossing, map_tags, strip_clues, untag
+from ..functions.markup import has_crossing, map_tags, strip_clues, strip_markup, untag
 from ..functions.parsing import Tokenizer, blank_tokens
 from ..functions.tagging import aligned_tags, marked_tags, marked_tokens, phrase_tags
 from ..operators import chains, filters, splits
@@ -45,7 +46,14 @@ PAIR_KEY = ["corpus", "doc_id", "sent_id", "example_id", "text"]
 
 def select_pairs(pairs: DataFrame, task: str) -> DataFrame:
     """The rows of a pair file that a task uses, with their tagged text."""
-    rows = (filters.first_relation if task == SEQUENCE else filters.positive_pairs)(pairs)
+    return _named(_of_task(pairs, task))
+
+
+def _of_task(pairs: DataFrame, task: str) -> DataFrame:
+    return (filters.first_relation if task == SEQUENCE else filters.positive_pairs)(pairs)
+
+
+def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tagged_text", map_tags(F.col("text_w_pairs"), "arg")).withColumnsRenamed(
         {"eg_id": "example_id", "seq_label": "labels"}
     )
@@ -74,6 +82,14 @@ def _staged(rows: DataFrame) -> DataFrame:
     return staged(rows)
 
 
+def _staged_pairs(rows: DataFrame) -> DataFrame:
+    """The same for pairs: a text that is the tagged one without its markup is not written twice."""
+    bare = strip_markup(F.col("text_w_pairs"))
+    twice = F.coalesce(F.col("text") == bare, F.lit(False))
+    kept = _staged(rows.withColumns({"_bare": twice, "text": F.when(~twice, F.col("text"))}))
+    return kept.withColumn("text", F.when(F.col("_bare"), bare).otherwise(F.col("text"))).select(*rows.columns)
+
+
 def _with_split(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("split", F.lit(name))
 
@@ -83,7 +99,7 @@ def _pairs(
 ) -> DataFrame:
     def read(name: str) -> DataFrame:
         path = os.path.join(data_dir, name)
-        return select_pairs(_staged(readers.read_pairs_csv(spark, path, multi_line)), task)
+        return _named(_staged_pairs(_of_task(readers.read_pairs_csv(spark, path, multi_line), task)))
 
     if corpus in ONE_FILE:
         rows = read(ONE_FILE[corpus])
@@ -127,9 +143,9 @@ def _fincausal(
     ).withColumnRenamed("Index", "example_id")
     if task == SEQUENCE:
         rows = rows.withColumn("labels", readers.whole_number(F.col("Gold"))).where("labels IS NOT NULL")
-        rows = keep_first(rows, "Text")
+        rows = keep_first(rows, "Text", numbered=True)
     else:
-        rows = annotate_phrases(keep_unique(rows, "Text"), tokenizer or blank_tokens)
+        rows = annotate_phrases(keep_unique(rows, "Text", numbered=True), tokenizer or blank_tokens)
     rows = rows.withColumnRenamed("Text", "text")
     parts = splits.split_80_10_10(rows, seed, ["row_id"])
     test = filters.filter_sentence_count(parts.where("split = 'test'"), num_sent)
@@ -230,6 +246,7 @@ def load_corpus(
     seed: int = 42,
     tokenizer: Tokenizer | None = None,
     multi_line: bool = True,
+    done: Callable[[str], None] | None = None,
 ) -> DataFrame:
     """One corpus for one task: its task columns and ``split``.
 
@@ -238,13 +255,17 @@ def load_corpus(
     reads CSV with line breaks in quotes, and JSON documents over several lines,
     by byte ranges that are scanned several times; turn it off for files without them.
     What a corpus holds but can't be used is in `load_quarantine`.
+    ``done`` is told the name of each corpus of pairs or ``fincausal`` when it is staged and
+    its files are not read any more.
     """
     check_pair(corpus, task)
     options = (data_dir, num_sent, num_causal, plicit, seed, tokenizer, multi_line)
     if corpus == "all":
-        parts = [load_corpus(spark, c, task, *options) for c in ALL_CORPORA[task]]
+        parts = [load_corpus(spark, c, task, *options, done=done) for c in ALL_CORPORA[task]]
         return union_corpora(parts, task)
     rows = _LOADERS[corpus](spark, corpus, task, *options)
+    if done and _LOADERS[corpus] in (_pairs, _fincausal):
+        done(corpus)
     return rows.select(*filters.TASK_COLUMNS[task], "split")
 
 
