@@ -27,7 +27,7 @@ from .report_queries import (
     _span_predictions,
     _word_predictions,
 )
-from .source_queries import _ADAPTIVE, _ANN, _FIN, _TEST, _write_csv, _write_fincausal, _write_instances, write_pairs
+from .source_queries import _ADAPTIVE, _ANN, _FIN, _TEST, _write_csv, _write_fincausal, _write_instances, delete_read, write_pairs
 
 _TAGS_OF_SEGMENTS = """array_to_string(list_transform(range(1, 1 + len(segs)), lambda j:
       CASE WHEN segs[j] = '' THEN '' WHEN marks[j][:2] = '<c' THEN 'C' || repeat('c', length(segs[j]) - 1)
@@ -171,12 +171,12 @@ def load_all(spark, sf):
     for k, corpus in enumerate(_PAIR_CORPORA):
         own = rows.where(F.col("src_id") % len(_PAIR_CORPORA) == k)
         if corpus in corpora.ONE_FILE:
-            write_pairs(own, os.path.join(folder, corpora.ONE_FILE[corpus]))
+            write_pairs(own, os.path.join(folder, corpora.ONE_FILE[corpus]), packed=True)
             continue
         for part, chosen in (("train", ~is_test), ("test", is_test)):
-            write_pairs(own.where(chosen), os.path.join(folder, f"{corpora.TWO_FILES[corpus]}_{part}.csv"))
-    _write_fincausal(spark, sf, folder)
-    return corpora.load_corpus(spark, "all", rules.SEQUENCE, folder, seed=SEED)
+            write_pairs(own.where(chosen), os.path.join(folder, f"{corpora.TWO_FILES[corpus]}_{part}.csv"), packed=True)
+    _write_fincausal(spark, sf, folder, packed=True)
+    return corpora.load_corpus(spark, "all", rules.SEQUENCE, folder, seed=SEED, done=delete_read(spark, folder))
 
 
 # --- runs ------------------------------------------------------------------------

@@ -63,7 +63,7 @@ def test_hashes_of_a_split_go(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["load_cross_corpus"])
+@pytest.mark.parametrize("name", ["load_cross_corpus", "load_all"])
 def test_files_of_a_corpus_go_when_it_is_staged(spark, name):
     before = folders(spark)
     loaded = QUERIES[name](spark, SF_DIR)
