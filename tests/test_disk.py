@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-import __spark_entry__  # noqa: F401  puts the repository on the path
+import corpus_pipeline
 from causeway.llm import jaccard, lines
 from causeway.sources import scratch
 
@@ -100,3 +100,19 @@ def test_filter_of_nodes_has_no_shuffle_left(spark):
     bitmap = jaccard.bloom(spark.range(100).select(F.xxhash64("id").alias("node")).repartition(3))
     assert bitmap.any()
     assert gone_at_last(lambda: shuffle_files(spark), before)
+
+
+def test_a_stage_leaves_its_documents_only(spark, monkeypatch):
+    def first(spark, docs, sf_dir):
+        return scratch.staged(scratch.staged(docs.where("doc_id > 1")).where("doc_id > 2"))
+
+    def last(spark, docs, sf_dir):
+        return docs
+
+    rows = spark.createDataFrame([(i, "x") for i in range(6)], "doc_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", first), ("second", first), ("last", last)])
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: rows)
+    before = folders(spark)
+    out = corpus_pipeline.run(spark, "nowhere")
+    assert len(folders(spark) - before) == 2
+    assert sorted(r.doc_id for r in out.collect()) == [3, 4, 5]
